@@ -17,6 +17,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import only, pieces, strings
 
@@ -229,8 +230,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
     so repeated rows give repeated results. `path` must be readable on executors.
     """
     schema = only(docs, *keep).schema if keep else docs.limit(0).select().schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("token_ids", "array<int>"),) if ids else ())):
-        schema = schema.add(name, kind)
+    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if ids:
+        schema = schema.add("token_ids", ArrayType(IntegerType()))
     narrow = only(docs, *keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
