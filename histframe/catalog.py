@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from histframe.plans import snapshots
+
+_PLANS = [snapshots]
+
+QUERIES = {name: q for plan in _PLANS for name, q in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
