@@ -1,11 +1,7 @@
-"""Shared helpers: scratch tables, byte-level word streams, Arrow access, column naming."""
+"""Shared helpers: byte-level word streams, Arrow access, column naming."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,50 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from histframe.scratch import release, shared_dir, written  # noqa: F401  for this package's modules
+
 #: Bytes of text that one vectorised step looks at.
 SLICE_BYTES = 2 << 20
 
-_scratch: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = spark.conf.get("histframe.scratch.dir", None)
-        if not known:
-            known = tempfile.mkdtemp(prefix="histframe-")
-            spark.conf.set("histframe.scratch.dir", known)
-    return known.rstrip("/")
-
-
-def written(df: DataFrame, name: str, scope: str = "session") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
-
-    The table stays until ``release(scope)`` or the end of the driver.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/histframe/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _scratch.setdefault(scope, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, scope: str = "session") -> None:
-    """Delete the scope's scratch tables; DataFrames that still read them must be done."""
-    for path in _scratch.pop(scope, []):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    spark = SparkSession.getActiveSession() if _scratch else None
-    for scope in list(_scratch) if spark else []:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            release(spark, scope)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

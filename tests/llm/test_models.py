@@ -215,6 +215,22 @@ def test_near_duplicates(spark):
     assert probminhash.report(frame.limit(0)).collect() == []
 
 
+def test_shared_passages_are_split(spark, monkeypatch):
+    """Texts that share most of their words but aren't near copies, with a few that are: buckets split by other bands."""
+    monkeypatch.setattr(probminhash, "GROUP", 6)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        tail = [f"t{i}x{k}" for k in range(40)]
+        rows.append((i, " ".join(passage + tail)))
+        if i % 10 == 0:
+            tail[rng.randrange(40)] = "changed"
+            rows.append((1000 + i, " ".join(passage + tail)))
+    got = {r.doc_id: r.class_id for r in probminhash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_group_of_near_copies_costs_a_pair_each(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(200)]
