@@ -18,6 +18,8 @@ from .common import only, written
 
 #: Least rate, in thousandths, that a rule may drop at, per rule.
 FLOORS = {"symbols": 60, "dup_lines": 300}
+#: Lines that count as unlike any other, so that one repeat in a text of three lines is no rate.
+SMOOTH = 8
 #: How many quartile distances above the median still count as usual.
 SPREAD = 6
 
@@ -59,7 +61,7 @@ def rates() -> dict[str, Column]:
     """What the sketches hold, in thousandths, rounded down; null where a text has no words."""
     return {
         "symbols": F.expr("if(n_words = 0, null, 1000 * n_symbols div word_chars)"),
-        "dup_lines": F.expr("if(n_words = 0, null, 1000 * n_dup_lines div n_lines)"),
+        "dup_lines": F.expr(f"if(n_words = 0, null, 1000 * n_dup_lines div (n_lines + {SMOOTH}))"),
     }
 
 

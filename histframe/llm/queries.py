@@ -96,7 +96,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-_RATES = """CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_symbols // word_chars END AS r1, CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_dup_lines // n_lines END AS r2"""
+_RATES = f"""CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_symbols // word_chars END AS r1, CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_dup_lines // (n_lines + {quality_rules.SMOOTH}) END AS r2"""
 _BIN = "CASE WHEN {0} < 64 THEN {0} WHEN {0} < 128 THEN {0} - {0} % 2 WHEN {0} < 256 THEN {0} - {0} % 4 WHEN {0} < 512 THEN {0} - {0} % 8 ELSE {0} - {0} % 16 END"
 
 OP5_SQL = rf"""
