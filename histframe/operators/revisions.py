@@ -106,7 +106,9 @@ class Tables:
                         raise
                     full, oid = "", self.prefix(s.text)
             elif s.kind in ("log", "date"):
-                rows = self.reflog.where(F.col("ref").isin([full, "HEAD"] if steps[0].text == "HEAD" else [full]))
+                # HEAD has a log of its own; a bare @{n} asks for the branch that HEAD stands for
+                full = "HEAD" if expression.startswith("HEAD") else full
+                rows = self.reflog.where(F.col("ref") == full)
                 if s.kind == "log":
                     n = rows.count()
                     if s.number >= n:
