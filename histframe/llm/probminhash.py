@@ -8,12 +8,15 @@ stops as soon as its next point lies behind its text's latest register, so most
 one or two points only.
 
 Copies (equal word sequences) are put together first, by a hash. Among their
-representatives, texts that agree in a whole band share a bucket. A bucket's pairs
-are never listed: each round takes pivots from it and compares them with the rest
-that isn't in their class yet; exact similarities of the pairs become links, links
-become classes, and a bucket is done when one class holds it or every member has
-been a pivot. So no pair of a bucket that could join two classes goes unseen, and a
-group of thousands of near copies takes one comparison for each of them.
+representatives, texts that agree in a whole band share a bucket, and links are looked
+for in three passes, each verified exactly before the next. First each member meets its
+bucket's least one. Then, in buckets that hold several classes, each member meets the
+two members of other classes that its registers call nearest, within blocks of bounded
+size; that leaves hardly anything to join. Last, every pair of a member outside its
+bucket's largest class with a member of another class is estimated, block by block, by
+a longer signature, and those near the threshold are verified. So the number of pairs
+follows the number of members and not its square, no pair of a bucket that could join
+two classes goes unseen, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -22,13 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _P, Words, mixed, only, pieces, shingle_hashes, strings, word_hashes, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
+#: Pairs whose estimate is this many standard deviations below the threshold aren't verified.
+MARGIN = 4.0
+#: Members of a block, neighbours for each in the second pass, and registers of the longer signature.
+GROUP, NEIGHBOURS, LONG = 1024, 2, 1024
 _U = 1.0 / (1 << 53)
 
 
@@ -100,7 +108,9 @@ def _profile(text: int, width: int, bands: int, rows: int):
                 for r in range(rows):
                     band = mixed(band * np.uint64(_P) + kept.reshape(b - a, bands, rows)[:, :, r])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands), pa.int32()), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole[:, 0].copy().view(np.int64)), pa.array(whole[:, 1].copy().view(np.int64)), pa.array(some), lists], names=["doc", "k1", "k2", "some", "bands"])
+                low = np.ascontiguousarray(kept.astype(np.uint8))  # a byte of each register is enough to estimate
+                sig = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, low.size + 1, bands * rows, dtype=np.int32)), pa.py_buffer(low)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole[:, 0].copy().view(np.int64)), pa.array(whole[:, 1].copy().view(np.int64)), pa.array(some), lists, sig], names=["doc", "k1", "k2", "some", "bands", "sig"])
 
     return run
 
@@ -156,26 +166,124 @@ def components(links: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
     """(doc, class) for every node: the least node that links lead to.
 
     Large stars and small stars by turns: each round links the neighbours of a node to
-    their least one, so that chains shorten by more than half; written each round.
+    their least one, so that chains shorten by more than half; written each round. It
+    ends when the links are stars already: each lesser end a centre, each greater end
+    the leaf of one centre.
     """
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = written(edges, "edges", scope)
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", scope)
     while True:
-        before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        ends = edges.select(F.col("b").alias("v"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("a").alias("v"), F.lit(None).cast("int").alias("leaf")).distinct())
+        mixed_ends = ends.groupBy("v").agg(F.count("*").alias("n"), F.count("leaf").alias("leaf")).where("leaf > 0 and n > 1")
+        if mixed_ends.isEmpty():
+            break
         for larger in (True, False):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            near = both.join(least, "a")
+            near = both.join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
             if larger:
                 moved = near.where("b > a").select(F.col("m").alias("a"), "b")
             else:
-                moved = near.where("b < a").select(F.col("m").alias("a"), "b").unionByName(near.select(F.col("m").alias("a"), F.col("a").alias("b")))
+                moved = near.where("b < a").select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b")
             edges = moved.where("a < b").distinct()
         edges = written(edges, "edges", scope)
-        if edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == before:
-            break
-    stars = edges.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("class"))
-    return nodes.join(stars, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    return nodes.join(edges.select(F.col("b").alias("doc"), F.col("a").alias("class")), "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    width = len(column[0].as_buffer()) if len(column) else 1
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def _cut(least: float, m: int) -> float:
+    """The least share of equal register bytes; bytes of unequal registers agree once in 256."""
+    return max(0.0, least - MARGIN * (least * (1 - least) / m) ** 0.5)
+
+
+def _estimated(least: float):
+    """The pairs (a, b, sa, sb) whose registers come near the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _sigs(batch.column(2)), _sigs(batch.column(3))
+            ok = (x == y).mean(1) >= _cut(least, x.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Columns of each run of rows with one value in the first column; signatures as byte tables."""
+    held, last = [], None
+
+    def whole(parts: list) -> tuple:
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [_sigs(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        key = columns[0]
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and key[i] != last:
+                yield whole(held)
+                held = []
+            last = key[i]
+            held.append([c[i:j] for c in columns])
+    if held:
+        yield whole(held)
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+
+def _nearest(least: float):
+    """Of (group, doc, class, sig): each member with its nearest ones of other classes, if they come near the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, doc, kind, sig in _by_group(batches):
+            for i in range(0, len(doc), 64):  # in strips, so that memory follows a strip and not the square
+                share = (sig[i : i + 64, None] == sig[None]).mean(2)
+                share[kind[i : i + 64, None] == kind[None]] = -1
+                best = np.argsort(-share, axis=1, kind="stable")[:, :NEIGHBOURS]
+                u, k = np.nonzero(np.take_along_axis(share, best, 1) >= _cut(least, sig.shape[1]))
+                yield _pairs(doc[i + u], doc[best[u, k]])
+
+    return run
+
+
+def _outside(least: float):
+    """Of (group, doc, class, outside, sig, long): pairs of an outsider and a member of another class that come near the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, doc, kind, out, sig, long in _by_group(batches):
+            a, b = np.flatnonzero(out), np.flatnonzero(~out)
+            for i in range(0, len(a), 64):
+                s = a[i : i + 64]
+                near = (sig[s, None] == sig[None, b]).mean(2) >= _cut(least, sig.shape[1])
+                u, v = np.nonzero(near & (kind[s, None] != kind[None, b]))
+                for k in range(0, len(u), 4096):
+                    x, y = s[u[k : k + 4096]], b[v[k : k + 4096]]
+                    ok = (long[x] == long[y]).mean(1) >= _cut(least, long.shape[1])
+                    yield _pairs(doc[x[ok]], doc[y[ok]])
+
+    return run
+
+
+def _long(m: int):
+    """(doc, long): a byte of each of m registers, from shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                n = part.num_rows
+                doc = np.repeat(np.arange(n), pc.list_value_length(part.column(1)).to_numpy())
+                shingle, weight = part.column(1).flatten().to_numpy().view(np.uint64), part.column(2).flatten().to_numpy().astype(np.float64)
+                low = np.ascontiguousarray(signatures(doc, shingle, weight, n, m).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in low], pa.binary())], names=["doc", "long"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, scope: str = "session") -> DataFrame:
@@ -185,47 +293,66 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     occurrences of shingles of `width` words, or of the whole text if it has fewer
     words. Texts without words (null, empty) resemble nothing: each is its own class.
     Rows with the same id count as one node, a null id gets no row. With `bands` and
-    `rows` as they are a pair at 0.8 is found with probability 0.9993, at 0.85 0.99999.
+    `rows` as they are a pair at 0.8 shares a bucket with probability 0.999, at 0.85
+    0.99999, and MARGIN loses 3 of 100,000 pairs at 0.8.
     """
-    spark = docs.sparkSession
     texts = only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    seen = written(texts.mapInArrow(_profile(1, width, bands, rows), "doc long, k1 long, k2 long, some boolean, bands array<long>"), "profiles", scope)
+    seen = written(texts.mapInArrow(_profile(1, width, bands, rows), "doc long, k1 long, k2 long, some boolean, bands array<long>, sig binary"), "profiles", scope)
     # copies: the least id of each word sequence; partial sums, so that a hot one is no hot task
-    first = seen.where("some").groupBy("k1", "k2").agg(F.min("doc").alias("copy_of"), F.min_by("bands", "doc").alias("bands"))
+    first = seen.where("some").groupBy("k1", "k2").agg(F.min(F.struct("doc", "bands", "sig")).alias("m")).select("k1", "k2", "m.*")
     first = written(first, "firsts", scope)
-    members = seen.join(first.select("k1", "k2", "copy_of"), ["k1", "k2"], "left").select("doc", F.coalesce(F.when(F.col("some"), F.col("copy_of")), "doc").alias("copy_of")).distinct()
-    buckets = first.select(F.col("copy_of").alias("doc"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last")
+    members = seen.join(first.select("k1", "k2", F.col("doc").alias("copy_of")), ["k1", "k2"], "left").select("doc", F.coalesce(F.when(F.col("some"), F.col("copy_of")), "doc").alias("copy_of")).distinct()
+    buckets = first.select("doc", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("bucket", "pivot")
     inside = written(buckets.join(shared, "bucket").select("bucket", "doc", "pivot").distinct(), "buckets", scope)
-    need = inside.select("doc").distinct()
-    shingles = texts.join(need, "doc", "left_semi").mapInArrow(_shingles(width), "doc long, sh array<long>, w array<int>").dropDuplicates(["doc"])
-    shingles = written(shingles, "shingles", scope)
-    pairs = inside.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    nodes = need
-    rest, links, pivots = inside.where("doc > pivot").select("bucket", "doc"), None, 1
-    while True:
-        left = shingles.select(F.col("doc").alias("a"), F.col("sh").alias("sa"), F.col("w").alias("wa"))
-        right = shingles.select(F.col("doc").alias("b"), F.col("sh").alias("sb"), F.col("w").alias("wb"))
+    nodes = inside.select("doc").distinct()
+    own = written(first.select("doc", "sig").join(nodes, "doc"), "nodes", scope)
+    shingles = written(texts.join(nodes, "doc", "left_semi").mapInArrow(_shingles(width), "doc long, sh array<long>, w array<int>").dropDuplicates(["doc"]), "shingles", scope)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs", scope)
+        need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        held = shingles.join(need, "doc", "left_semi")
+        left = held.select(F.col("doc").alias("a"), F.col("sh").alias("sa"), F.col("w").alias("wa"))
+        right = held.select(F.col("doc").alias("b"), F.col("sh").alias("sb"), F.col("w").alias("wb"))
         sides = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
-        found = written(sides.mapInArrow(_verify(least), "a long, b long, similarity double"), "links", scope)
-        links = found if links is None else links.unionByName(found)
-        classes = written(components(links, nodes, scope), "classes", scope)
-        # buckets that still hold several classes go on with their other members
-        open_ = rest.join(classes, "doc")
-        several = open_.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-        open_ = written(open_.join(several, "bucket"), "open", scope)
-        if open_.isEmpty():
-            break
-        # the next pivots: members of the bucket's smallest classes first, twice as many each round
-        sized = open_.join(open_.groupBy("bucket", "class").agg(F.count("*").alias("n")), ["bucket", "class"])
-        ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("n", "class", "doc")))
-        ranked = written(ranked.select("bucket", "doc", "class", "rank"), "ranked", scope)
-        p = ranked.where(F.col("rank") <= pivots).select("bucket", F.col("doc").alias("p"), F.col("class").alias("pc"), F.col("rank").alias("pr"))
-        pairs = ranked.join(p, "bucket").where("class != pc and rank > pr").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-        rest = ranked.where(F.col("rank") > pivots).select("bucket", "doc")
-        pivots *= 2
-    own = classes.select(F.col("doc").alias("copy_of"), F.col("class").alias("class_id"))
-    return members.join(own, "copy_of", "left").select("doc", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
+        return written(sides.mapInArrow(_verify(least), "a long, b long, similarity double"), "links", scope)
+
+    def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+        """classes after more links, which connect classes and not documents anew."""
+        ends = links.join(classes.select(F.col("doc").alias("a"), F.col("class").alias("ca")), "a").join(classes.select(F.col("doc").alias("b"), F.col("class").alias("cb")), "b")
+        top = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), classes.select(F.col("class").alias("doc")).distinct(), scope)
+        return written(classes.join(top.select(F.col("doc").alias("class"), F.col("class").alias("top")), "class").select("doc", F.col("top").alias("class")), "classes", scope)
+
+    def open_buckets(classes: DataFrame) -> DataFrame:
+        """(bucket, doc, class, n) of the buckets with several classes."""
+        held = inside.select("bucket", "doc").join(classes, "doc")
+        sizes = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket", "n")
+        return written(held.join(sizes, "bucket"), "open", scope)
+
+    stars = inside.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    sided = stars.join(own.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    classes = written(components(verified(sided.mapInArrow(_estimated(least), "a long, b long")), nodes, scope), "classes", scope)
+
+    block = lambda: F.expr(f"pmod(xxhash64(doc), cast(ceil(n / {GROUP}) as bigint))")
+    groups = open_buckets(classes).withColumn("g", F.xxhash64("bucket", block())).join(own, "doc").select("g", "doc", "class", "sig")
+    near = groups.repartition("g").sortWithinPartitions("g").mapInArrow(_nearest(least), "a long, b long").distinct()
+    classes = joined(classes, verified(near))
+
+    held = open_buckets(classes)
+    largest = held.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
+    counts = held.join(largest, "bucket").groupBy("bucket", "main").agg(F.sum((F.col("class") != F.col("main")).cast("long")).alias("others"))
+    held = held.join(counts, "bucket")
+    many, few = F.ceil(F.col("n") / GROUP).cast("long"), F.ceil(F.col("others") / GROUP).cast("long")
+    # outsiders meet every block of members, members every block of outsiders
+    out = held.where("class != main").select("bucket", "doc", "class", F.lit(True).alias("outside"), F.pmod(F.xxhash64("doc"), few).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("m"))
+    all_ = held.select("bucket", "doc", "class", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), few - 1)).alias("o"), F.pmod(F.xxhash64("doc"), many).alias("m"))
+    both = out.unionByName(all_).select(F.xxhash64("bucket", "o", "m").alias("g"), "doc", "class", "outside")
+    long = written(shingles.join(held.select("doc").distinct(), "doc", "left_semi").mapInArrow(_long(LONG), "doc long, long binary"), "long", scope)
+    groups = both.join(own, "doc").join(long, "doc").select("g", "doc", "class", "outside", "sig", "long")
+    rest = groups.repartition("g").sortWithinPartitions("g").mapInArrow(_outside(least), "a long, b long").distinct()
+    classes = joined(classes, verified(rest))
+    return members.join(classes.select(F.col("doc").alias("copy_of"), F.col("class").alias("class_id")), "copy_of", "left").select("doc", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
