@@ -175,7 +175,7 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
         if r.src_path not in gone and r.dst_path not in taken:
             gone.add(r.src_path), taken.add(r.dst_path)
             out.append(r)
-    return pd.DataFrame([tuple(r) for r in out], columns=["src_path", "dst_path", "score"])
+    return pd.DataFrame([(r.src_path, r.dst_path, r.score) for r in out], columns=["src_path", "dst_path", "score"])
 
 
 # --- histories of one file ------------------------------------------------------------------------------------
