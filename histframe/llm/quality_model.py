@@ -77,7 +77,7 @@ def context_vectors(texts: list[np.ndarray], near: int = NEAR) -> np.ndarray:
 class Tokens:
     """Token -> number of its (word, shape) pair, with the pairs' slots; bounded."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self):
         self.memo = Memo(slots, self.KEPT, 60)
