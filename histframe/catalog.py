@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from histframe.plans import content, graph, logs, rules, snapshots
+from histframe.plans import content, graph, logs, lookup, rules, snapshots
 
-_PLANS = [snapshots, logs, rules, graph, content]
+_PLANS = [snapshots, logs, rules, graph, content, lookup]
 
 QUERIES = {name: q for plan in _PLANS for name, q in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
