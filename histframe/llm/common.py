@@ -23,7 +23,7 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     at = {}
     for i, c in enumerate(df.columns):
         at.setdefault(c, i)
-    if len(set(df.columns)) == len(df.columns):
+    if len({c.lower() for c in df.columns}) == len(df.columns):
         return df.select(*(f"`{c}`" for c in columns))
     renamed = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
     return renamed.select(*(renamed[f"_{at[c]}"].alias(c) for c in columns))

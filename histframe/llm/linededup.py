@@ -179,7 +179,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     # the bitmaps know a row by its id and the hash of its text
     named = docs.mapInArrow(_with_row(at), _extended(docs.schema, _row="long"))
     same = (named[doc_id].cast("long") == maps["doc"]) & (named["_row"] == maps["row"])
-    joined = named.join(maps, same, "left").select(*(named[c] for c in docs.columns), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "keep")
+    joined = named.join(maps, same, "left").select(*(named[c] for c in docs.columns), F.coalesce(maps["n_dropped"], F.lit(0).cast("long")).alias("n_dropped"), maps["keep"].alias("_keep"))
     schema = _extended(docs.schema, n_dropped="long", kept_text="string", n_lines="long")
     return joined.mapInArrow(_apply(at), schema)
 

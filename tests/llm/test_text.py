@@ -124,6 +124,14 @@ def test_line_dedup(spark):
     assert linededup.report(frame.limit(0)).collect() == []
 
 
+def test_clashing_columns(spark):
+    """Columns that are called like outputs or like inputs in other letters do no harm."""
+    frame = spark.createDataFrame([(1, "a common line", "k", "d", 2), (2, "a common line", "k", "d", 2)], "doc_id long, text string, keep string, doc string, n_dropped int")
+    assert sorted((r.doc_id, r.keep, r.doc, r.n_dropped, r.kept_text) for r in linededup.dedup_lines(frame).collect()) == [(1, "k", "d", 0, "a common line"), (2, "k", "d", 1, "")]
+    twice = frame.select("doc_id", "text", frame["keep"].alias("TEXT"), frame["doc"].alias("Doc_Id"))
+    assert sorted(r.n_dropped for r in linededup.report(twice).collect()) == [0, 1]
+
+
 def test_bitmaps_survive_packing():
     for n in (1, 7, 8, 9, 1000):
         gone = [i for i in range(n) if i % 3 == 1]
