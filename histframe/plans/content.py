@@ -37,12 +37,20 @@ def binary_flags(spark, sf):
     return d.select("doc_id", is_binary(marked).alias("is_binary"))
 
 
-def whitespace(spark, sf):
-    d = L.blobs(spark, sf).where("doc_id % 2 = 0").select("doc_id", F.col("content").alias("old"), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("content", " ", "  ")).otherwise(F.concat("content", F.lit("x"))).alias("new"))
+def _whitespace(b):
+    d = b.select("doc_id", F.col("content").alias("old"), F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("content", " ", "  ")).otherwise(F.concat("content", F.lit("x"))).alias("new"))
     out = C.whitespace_only(d, "change")
     return out.select("doc_id", "ws_only")
 
 
+def whitespace(spark, sf):
+    return _whitespace(L.blobs(spark, sf).where("doc_id % 2 = 0"))
+
+
+def whitespace_all(spark, sf):
+    return _whitespace(L.blobs(spark, sf))
+
+
 def numstat(spark, sf):
     s = C.steps(L.versions(spark, sf))
     return C.numstat(s).select("file", "version", "added", "deleted")
@@ -73,13 +81,21 @@ MERGED = """WITH v AS (SELECT conv_id AS file, string_agg(role || ': ' || replac
 SELECT file, sha1('top' || chr(10) || base || CASE WHEN file % 2 = 0 THEN 'end' || chr(10) ELSE '' END) AS merged, CAST(0 AS BIGINT) AS conflicts FROM v"""
 
 
-def similarity(spark, sf):
-    b = L.blobs(spark, sf).where("doc_id % 10 = 0 and size < 20000").withColumn("k", (F.col("doc_id") / 10).cast("long"))
+def _similarity(b):
+    """Each text with its edited copy."""
     edited = b.select(F.concat("path", F.lit("~")).alias("path"), F.concat("oid", F.lit("~")).alias("oid"), (F.col("size") + 5).alias("size"), F.concat(F.lit("line\n"), "content").alias("content"))
     pairs = b.select(F.col("oid").alias("src"), F.concat("oid", F.lit("~")).alias("dst")).distinct()
     return C.similarity(b.select("path", "oid", "size", "content").unionByName(edited), pairs)
 
 
+def similarity(spark, sf):
+    return _similarity(L.blobs(spark, sf).where("doc_id % 10 = 0 and size < 20000"))
+
+
+def similarity_all(spark, sf):
+    return _similarity(L.blobs(spark, sf))
+
+
 SIMILARITY = """WITH b AS (SELECT DISTINCT sha1(encode('blob ' || CAST(strlen(text) AS VARCHAR)) || '\\x00'::BLOB || encode(text)) AS oid, strlen(text) AS size FROM documents WHERE doc_id % 10 = 0 AND strlen(text) < 20000)
 SELECT oid AS src, oid || '~' AS dst, CAST(size * 60000 // (size + 5) AS BIGINT) AS score FROM b"""
 
@@ -92,10 +108,13 @@ def renames(spark, sf):
 
 
 def range_diff(spark, sf):
+    """A conversation is a series."""
     p = C.patches(C.steps(L.versions(spark, sf)).withColumn("path", F.lit("f")))
-    old = p.select((F.col("file") % 20).alias("series"), F.lit("old").alias("side"), (F.col("file") * 100 + F.col("version")).alias("n"), "patch").where("series < 5 and n < 6000")
-    new = old.where("n % 3 != 0").withColumns({"side": F.lit("new"), "patch": F.when(F.col("n") % 5 == 0, F.concat("patch", F.lit("+more\n"))).otherwise(F.col("patch"))})
-    return C.range_diff(old.unionByName(new))
+    p = p.select(F.col("file").alias("series"), (F.col("file") * 100 + F.col("version")).alias("n"), "patch")
+    side = lambda name, patch: F.struct(F.lit(name).alias("side"), patch.alias("patch"))
+    new = side("new", F.when(F.col("n") % 5 == 0, F.concat("patch", F.lit("+more\n"))).otherwise(F.col("patch")))
+    sides = F.explode(F.when(F.col("n") % 3 != 0, F.array(side("old", F.col("patch")), new)).otherwise(F.array(side("old", F.col("patch")))))
+    return C.range_diff(p.select("series", "n", sides.alias("s")).select("series", "n", "s.*"))
 
 
 def notes(spark, sf):
@@ -106,15 +125,23 @@ def notes(spark, sf):
 OID = "sha1(encode('blob ' || CAST(strlen(coalesce(text, '')) AS VARCHAR)) || '\\x00'::BLOB || encode(coalesce(text, '')))"
 
 
-def cat_file(spark, sf):
+def _cat_file(spark, sf, asked):
     """Asked-for ids in their order, each with its object or as missing."""
     b = L.blobs(spark, sf)
-    asked = L.table(spark, sf, "documents").where("doc_id < 300").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("f" * 40)).otherwise(F.sha1("text")).alias("x"))
+    asked = asked.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("f" * 40)).otherwise(F.sha1("text")).alias("x"))
     ids = asked.join(b.select("doc_id", "oid"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("x")).otherwise(F.col("oid")).alias("oid"))
     objects = b.groupBy("oid").agg(F.first("size").alias("size"))
     return ids.join(objects, "oid", "left").select(F.col("doc_id").alias("ord"), "oid", F.col("size").isNotNull().alias("ok"), "size")
 
 
+def cat_file(spark, sf):
+    return _cat_file(spark, sf, L.table(spark, sf, "documents").where("doc_id < 300"))
+
+
+def cat_file_all(spark, sf):
+    return _cat_file(spark, sf, L.table(spark, sf, "documents"))
+
+
 CAT = f"SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 0 THEN repeat('f', 40) ELSE {OID} END AS oid, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS size FROM documents WHERE doc_id < 300"
 
 
@@ -122,7 +149,7 @@ def enumerate_objects(spark, sf):
     return L.blobs(spark, sf).select("oid").distinct()
 
 
-QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
+QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "whitespace_only_all": whitespace_all, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "similarity_all": similarity_all, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "cat_file_batch_all": cat_file_all, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
     "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents WHERE doc_id % 2 = 0", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "similarity": SIMILARITY,
