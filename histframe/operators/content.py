@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from histframe.functions import linediff
 from histframe.functions.scalar import is_binary, normalized_line, split_lines
+from histframe.scratch import written
 
 MOST_SCORE = 60_000
-#: Least score of a rename, candidates kept for each destination, and the gate on destinations x sources.
-RENAME_SCORE, KEPT, GATE = 30_000, 4, 1000
+#: Least score of a rename, candidates kept for each destination, and the default limit: no more than limit x limit pairs.
+RENAME_SCORE, KEPT, LIMIT = 30_000, 4, 1000
 
 
 def lines(blobs: DataFrame) -> DataFrame:
@@ -125,9 +126,12 @@ def chunks(blobs: DataFrame) -> DataFrame:
     return blobs.select("oid", "content").dropDuplicates(["oid"]).mapInArrow(_chunk_rows, "oid string, chunk long, bytes long")
 
 
-def similarity(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, score): shared bytes of chunks in 60,000ths of the larger size, for pairs of ids with sizes."""
-    c = chunks(blobs)
+def similarity(blobs: DataFrame, pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(src, dst, score): shared bytes of chunks in 60,000ths of the larger size, for pairs of ids with sizes.
+
+    held: the blobs' chunks, where they are known already.
+    """
+    c = chunks(blobs) if held is None else held
     left = c.select(F.col("oid").alias("src"), "chunk", F.col("bytes").alias("x"))
     right = c.select(F.col("oid").alias("dst"), "chunk", F.col("bytes").alias("y"))
     shared = pairs.join(left, "src").join(right, ["dst", "chunk"]).groupBy("src", "dst").agg(F.sum(F.least("x", "y")).alias("common"))
@@ -137,41 +141,55 @@ def similarity(blobs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sized.select("src", "dst", F.when(most == 0, 0).otherwise(F.floor(F.coalesce("common", F.lit(0)) * MOST_SCORE / most)).cast("long").alias("score"))
 
 
-def rename_pairs(deleted: DataFrame, added: DataFrame, least: int = RENAME_SCORE) -> DataFrame:
-    """(src_path, dst_path, src, dst): pairs whose sizes allow the score; only of a common chunk, since others score 0."""
-    pairs = deleted.select(F.col("path").alias("src_path"), F.col("oid").alias("src"), F.col("size").alias("s")).join(added.select(F.col("path").alias("dst_path"), F.col("oid").alias("dst"), F.col("size").alias("d")), F.lit(True))
-    return pairs.where(F.least("s", "d") * MOST_SCORE >= F.greatest("s", "d") * least).drop("s", "d")
+def rename_pairs(deleted: DataFrame, added: DataFrame, held: DataFrame, least: int = RENAME_SCORE) -> DataFrame:
+    """(src, dst): ids that may reach the score, least > 0, over (oid, size) and the chunks of all.
 
+    Chunks stand in one order, rare ones first. A blob's head is what has at least the
+    share `least` of its bytes from there on. The first chunk that a pair shares is in
+    both heads, or the shared bytes wouldn't reach the share of the larger one; so a
+    join of the heads finds every pair, and common chunks mostly stay out of it.
+    """
+    size = deleted.select("oid", "size").unionByName(added.select("oid", "size")).dropDuplicates(["oid"])
+    often = held.groupBy("chunk").agg(F.count("*").alias("often"))
+    rest = Window.partitionBy("oid").orderBy(F.desc("often"), F.desc("chunk")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.join(often, "chunk").withColumn("rest", F.sum("bytes").over(rest)).join(size, "oid")
+    heads = written(ranked.where(F.col("rest") * MOST_SCORE >= F.col("size") * least).select("oid", "chunk", "size"), "heads")
+    side = lambda df, oid, n: heads.join(df.select("oid").distinct(), "oid").select(F.col("oid").alias(oid), "chunk", F.col("size").alias(n))
+    pairs = side(deleted, "src", "s").join(side(added, "dst", "d"), "chunk")
+    return pairs.where(F.least("s", "d") * MOST_SCORE >= F.greatest("s", "d") * least).select("src", "dst").distinct()
 
-def inexact_renames(deleted: DataFrame, added: DataFrame, least: int = RENAME_SCORE) -> DataFrame:
+
+def inexact_renames(deleted: DataFrame, added: DataFrame, least: int = RENAME_SCORE, limit: int = LIMIT) -> DataFrame:
     """(src_path, dst_path, score): best pairs first, each path once.
 
-    Like the exact pass it stands behind a gate: with more than GATE x GATE pairs none
-    are looked for, so what one task takes in is bounded.
+    With more than limit x limit pairs none are looked for; limit 0 takes any number.
     """
-    n = deleted.count() * added.count()
-    empty = deleted.sparkSession.createDataFrame([], "src_path string, dst_path string, score long")
-    if n == 0 or n > GATE * GATE:
-        return empty
-    pairs = rename_pairs(deleted, added, least)
-    scores = similarity(deleted.unionByName(added), pairs.select("src", "dst").distinct())
-    scored = pairs.join(scores, ["src", "dst"]).where(F.col("score") >= least).select("src_path", "dst_path", "score")
-    return scored.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy, "src_path string, dst_path string, score long")
-
-
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    held: dict[str, list] = {}
-    for r in rows.sort_values(["dst_path", "src_path"]).itertuples(index=False):
-        slots = held.setdefault(r.dst_path, [])
+    if limit and deleted.count() * added.count() > limit * limit:
+        return deleted.sparkSession.createDataFrame([], "src_path string, dst_path string, score long")
+    blobs = deleted.unionByName(added)
+    held = written(chunks(blobs), "chunks")
+    scores = similarity(blobs, written(rename_pairs(deleted, added, held, least), "pairs"), held).where(F.col("score") >= least)
+    named = scores.join(deleted.select(F.col("path").alias("src_path"), F.col("oid").alias("src")), "src").join(added.select(F.col("path").alias("dst_path"), F.col("oid").alias("dst")), "dst")
+    best = named.select("src_path", "dst_path", "score").groupBy("dst_path").applyInPandas(_slots, "src_path string, dst_path string, score long, slot long")
+    return best.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy, "src_path string, dst_path string, score long")
+
+
+def _slots(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sources that a destination keeps, each with its slot."""
+    slots: list = []
+    for r in rows.sort_values("src_path").itertuples(index=False):
         if len(slots) < KEPT:
             slots.append(r)
             continue
         at = min(range(KEPT), key=lambda i: (slots[i].score, i))  # the earliest of the least
         if r.score > slots[at].score:
             slots[at] = r
-    order = sorted((r for k in sorted(held) for r in held[k]), key=lambda r: -r.score)
+    return pd.DataFrame([(r.src_path, r.dst_path, r.score, k) for k, r in enumerate(slots)], columns=["src_path", "dst_path", "score", "slot"])
+
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     gone, taken, out = set(), set(), []
-    for r in order:
+    for r in rows.sort_values(["score", "dst_path", "slot"], ascending=[False, True, True]).itertuples(index=False):
         if r.src_path not in gone and r.dst_path not in taken:
             gone.add(r.src_path), taken.add(r.dst_path)
             out.append(r)

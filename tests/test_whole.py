@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 from itertools import permutations
 
 from histframe.functions import linediff
@@ -75,3 +77,48 @@ def test_whitespace_and_cat_file_take_every_document(spark, small):
     assert sorted(map(tuple, content.cat_file_all(spark, small).collect())) == want
     larger = small.replace("sf0.001", "sf0.01")  # more than 300 ids
     assert content.cat_file_all(spark, larger).count() == L.table(spark, larger, "documents").count() > 300
+
+
+def slow_renames(gone, new, least=30_000):
+    """Every pair scored; four sources a destination, then the best pairs first."""
+    parts = {p: pieces(t) for p, t in [*gone, *new]}
+    size = {p: len(t.encode()) for p, t in [*gone, *new]}
+    order = []
+    for d, _ in sorted(new):
+        slots = []
+        for s, _ in sorted(gone):
+            most = max(size[s], size[d])
+            score = sum(min(n, parts[d].get(c, 0)) for c, n in parts[s].items()) * 60_000 // most if most else 0
+            if score < least:
+                continue
+            if len(slots) < 4:
+                slots.append((score, s, d))
+            elif score > min(slots)[0]:
+                slots[[x[0] for x in slots].index(min(slots)[0])] = (score, s, d)
+        order += slots
+    out, used = [], set()
+    for score, s, d in sorted(order, key=lambda x: -x[0]):
+        if not {(0, s), (1, d)} & used:
+            used |= {(0, s), (1, d)}
+            out.append((s, d, score))
+    return sorted(out)
+
+
+def test_inexact_renames_equal_brute_force(spark, small):
+    rng = random.Random(5)
+    texts = sorted({r.oid: r.content for r in L.blobs(spark, small).collect() if r.size < 4_000}.values())[:70]
+    lines = [f"line {i} {'x' * rng.randrange(80)}" for i in range(40)]
+    texts += ["\n".join(rng.choice(lines[: 8 + i % 20]) for _ in range(rng.randrange(1, 25))) for i in range(40)] + ["", "a\n", "a"]
+    gone = [(f"g{i:03}", t) for i, t in enumerate(texts)]
+    new = [(f"n{rng.random()}", "\n".join(x for x in t.split("\n") if rng.random() < 0.8) + rng.choice(["", "\nmore\n", "\nother\n"])) for _, t in gone]
+    frames = [spark.createDataFrame([(p, hashlib.sha1(t.encode()).hexdigest(), len(t.encode()), t) for p, t in side], "path string, oid string, size long, content string") for side in (gone, new)]
+    want = slow_renames(gone, new)
+    assert sorted(map(tuple, C.inexact_renames(*frames, limit=0).collect())) == want and len(want) > 50
+    assert C.inexact_renames(*frames, limit=100).collect() == []
+    assert sorted(map(tuple, C.inexact_renames(*frames, limit=200).collect())) == want
+
+
+def test_inexact_renames_query_takes_every_text(spark, small):
+    rows = L.blobs(spark, small).dropDuplicates(["oid"]).collect()
+    want = slow_renames([(r.path, r.content) for r in rows], [("new/" + r.path, r.content + "\nadded!\n") for r in rows])
+    assert sorted(map(tuple, content.renames(spark, small).collect())) == want and len(want) > 150
