@@ -4,7 +4,8 @@ Random indexing gives every word a sparse index vector of +1 and -1 that its has
 picks, and a context vector, the sum of the index vectors of the words around it in
 the training texts. A token counts as two words, its letters in lower case and its
 shape (cases, digits and marks, runs shortened), so that unseen tokens still have a
-known shape. A document is the mean and spread of its tokens' vectors, with a few
+known shape. Longer runs without white space are cut into pieces, each a token, so that
+all of a text counts. A document is the mean and spread of its tokens' vectors, with a few
 measures of length and repetition. A two-layer network in numpy learns the label from
 these; its temperature is set on texts that it was not fitted to.
 """
@@ -30,6 +31,8 @@ SAMPLE = 4_000
 DIM, SLOTS, NEAR = 32, 1 << 14, 2
 HIDDEN, EPOCHS, STEP, DECAY = 32, 60, 0.004, 1e-4
 EXTRAS = 6
+#: The longest token; what is longer counts as several.
+PIECE = 40
 
 _RUN = re.compile(r"(.)\1+", re.S)
 _LETTERS = re.compile(r"[^\w]+")
@@ -37,16 +40,24 @@ _LETTERS = re.compile(r"[^\w]+")
 
 def shape(token: str) -> str:
     """X for capitals, x for other letters, 9 for digits, marks as they are; runs once."""
-    return _RUN.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:40]))
+    return _RUN.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token))
 
 
 def _slot(kind: str, word: str) -> int:
     return zlib.crc32(f"{kind}:{word}".encode("utf-8", "surrogatepass")) % SLOTS
 
 
+def pieces(text: str) -> list[str]:
+    """The tokens of a text, the long ones in pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 def slots(token: str) -> int:
     """The slot of a token's letters, times SLOTS, and that of its shape."""
-    return _slot("w", _LETTERS.sub("", token.lower())[:40]) * SLOTS + _slot("s", shape(token))
+    return _slot("w", _LETTERS.sub("", token.lower())) * SLOTS + _slot("s", shape(token))
 
 
 def index_vectors(seed: int = 7, ones: int = 4) -> np.ndarray:
@@ -83,7 +94,7 @@ class Tokens:
         self.memo = Memo(slots, self.KEPT, 60)
 
     def ids(self, text: str) -> np.ndarray:
-        codes = np.array(list(map(self.memo.__getitem__, text.split())), np.int64)
+        codes = np.array(list(map(self.memo.__getitem__, pieces(text))), np.int64)
         return np.stack([codes // SLOTS, codes % SLOTS], 1)
 
 
