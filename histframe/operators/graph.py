@@ -116,31 +116,43 @@ def described(edges: DataFrame, commits: DataFrame, tags: DataFrame, targets: Da
 MERGE_HOP = 65_535
 
 
-def named(edges: DataFrame, refs: DataFrame, rounds: int = 64) -> DataFrame:
+def _leaps(edges: DataFrame) -> DataFrame:
+    """The edges with steps, and along first parents also leaps of 2, 4, 8 ... steps."""
+    leap = written(edges.where("idx = 0").select("child", "parent", F.lit(1).cast("long").alias("steps")), "leaps")
+    out = edges.select("child", "parent", "idx", F.lit(1).cast("long").alias("steps"))
+    while not leap.isEmpty():
+        on = leap.select(F.col("child").alias("parent"), F.col("parent").alias("on"))
+        leap = written(leap.join(on, "parent").select("child", F.col("on").alias("parent"), (F.col("steps") * 2).alias("steps")), "leaps")
+        out = out.unionByName(leap.withColumn("idx", F.lit(0)))
+    return written(out, "leaps")
+
+
+def named(edges: DataFrame, refs: DataFrame) -> DataFrame:
     """(oid, name): the best path from a ref: a tag before others, then the nearest, where a second parent costs 65,535 steps.
 
     A relaxation over all commits at once: each round offers every commit the names of
-    its children and keeps the least by (not a tag, distance, tagger's time, ref, path).
+    its children and keeps the least by (not a tag, distance, tagger's time, ref, path),
+    until none changes. Names also leap along first parents, so a chain of n commits
+    takes about log n rounds.
     """
     rank = lambda: F.struct("other", "distance", "tagger", "ref", "path")
     start = refs.select("oid", (~F.col("name").startswith("refs/tags/")).cast("int").alias("other"), F.lit(0).cast("long").alias("distance"), F.coalesce("tagger_ts", F.lit(1 << 62)).alias("tagger"), F.regexp_replace("name", "^refs/(heads/)?", "").alias("ref"), F.lit("").alias("path"), F.lit(0).cast("long").alias("tail"))
     best = written(start.groupBy("oid").agg(F.min(F.struct("other", "distance", "tagger", "ref", "path", "tail")).alias("n")).select("oid", "n.*"), "names")
     changed = best
     shown = lambda path, tail: F.when(tail > 0, F.concat(path, F.lit("~"), tail.cast("string"))).otherwise(path)
-    for _ in range(rounds):
+    edges = _leaps(edges)
+    while not changed.isEmpty():
         step = changed.join(edges, changed["oid"] == edges["child"])
         first = F.col("idx") == 0
         offered = step.select(
-            F.col("parent").alias("oid"), "other", (F.col("distance") + F.when(first, 1).otherwise(MERGE_HOP)).alias("distance"), "tagger", "ref",
+            F.col("parent").alias("oid"), "other", (F.col("distance") + F.when(first, F.col("steps")).otherwise(MERGE_HOP)).alias("distance"), "tagger", "ref",
             F.when(first, F.col("path")).otherwise(F.concat(shown(F.col("path"), F.col("tail")), F.lit("^"), (F.col("idx") + 1).cast("string"))).alias("path"),
-            F.when(first, F.col("tail") + 1).otherwise(0).alias("tail"),
+            F.when(first, F.col("tail") + F.col("steps")).otherwise(0).alias("tail"),
         )
         both = best.withColumn("old", F.lit(1)).unionByName(offered.withColumn("old", F.lit(0)))
         kept = both.groupBy("oid").agg(F.min_by(F.struct("other", "distance", "tagger", "ref", "path", "tail", "old"), F.struct("other", "distance", "tagger", "ref", "path", "tail", -F.col("old"))).alias("n")).select("oid", "n.*")
         kept = written(kept, "names")
         changed, best = kept.where("old = 0").drop("old"), kept.drop("old")
-        if changed.isEmpty():
-            break
     return best.select("oid", F.concat("ref", shown(F.col("path"), F.col("tail"))).alias("name"), "distance")
 
 

@@ -137,8 +137,8 @@ SELECT t.oid AS target, 'refs/tags/v' || CAST(b.oid AS VARCHAR) AS tag, distance
 
 def name_rev(spark, sf):
     c, e = _graph(spark, sf)
-    tags = L.tags(c).where("oid % 100 = 0").select("oid", "name", "tagger_ts")
-    heads = L.branches(c).where("oid % 2 = 0").select("oid", "name", F.lit(None).cast("long").alias("tagger_ts"))
+    tags = L.tags(c).select("oid", "name", "tagger_ts")
+    heads = L.branches(c).select("oid", "name", F.lit(None).cast("long").alias("tagger_ts"))
     return G.named(e, tags.unionByName(heads))
 
 
