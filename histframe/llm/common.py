@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,16 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return renamed.select(*(renamed[f"_{at[c]}"].alias(c) for c in columns))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ... by position, so that no name can clash, and the names that they had."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns
+
+
+def restored(df: DataFrame, names: Sequence[str], at: Iterable[int]) -> DataFrame:
+    """The columns at these positions under these names."""
+    return df.select(*(f"`{df.columns[i]}`" for i in at)).toDF(*names)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A text column without nulls (null counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -46,6 +60,70 @@ def pieces(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         a = b
 
 
+def offsets(values: pa.Array) -> np.ndarray:
+    """Where the contents of large strings or binaries begin and end, from 0."""
+    at = np.frombuffer(values.buffers()[1], "<i8")[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return at - at[0]
+
+
+def contents(values: pa.Array) -> np.ndarray:
+    """The bytes of large strings or binaries, one after the other."""
+    if not len(values) or values.buffers()[2] is None:
+        return np.zeros(0, np.uint8)
+    at = np.frombuffer(values.buffers()[1], "<i8")[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[at[0] : at[-1]]
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists values[ends[r]:ends[r + 1]] of the rows r, one after the other, and where each ends."""
+    sizes = np.diff(ends)[rows]
+    to = np.r_[0, np.cumsum(sizes)]
+    return values[np.repeat(ends[:-1][rows] - to[:-1], sizes) + np.arange(to[-1])], to
+
+
+class Memo(dict):
+    """A bounded memo of two generations: what is asked for again outlives a full one."""
+
+    def __init__(self, make, kept: int, chars: int):
+        self.make, self.kept, self.chars, self.old = make, kept, chars, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.chars:
+                return value
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: tables of the operator that it runs, and of no other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back at the end of each task, since workers live on."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 #: Separators of words, and the lower-casing of A-Z: every other byte stands for itself.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x00:0x30] = _FOLD[0x3A:0x61] = _FOLD[0x7B:0x80] = 32

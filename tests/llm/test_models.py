@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from histframe.llm import bpe, probminhash, quality_model, queries, secrets, tokencount
-from histframe.llm.common import strings
+from histframe.llm.common import Memo, strings
 
 AWKWARD = [None, "", " ", "\n\n", "  two  spaces\n\n x ", "a" * 3000, "ab" * 700, "é́ 日本語 😀😀 \x1c \x85", "it's I'LL 'Re <|endoftext|><|startoftext|>x<|END", "ΣΊΣΥΦΟΣ İI", "tail "]
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -42,13 +43,37 @@ def test_encoding_is_the_library_s(library):
         assert mine.decode(ids) == t.encode()
 
 
-def test_short_and_long_queues_agree():
+def test_shared_and_own_queues_agree(library):
     mine = bpe.encoder(PATH, P.PATTERN)
     rng = random.Random(2)
-    for _ in range(300):
-        raw = bytes(rng.choice(b"abcth er\xc3\xa9") for _ in range(rng.randint(2, 200)))
-        assert mine._short(raw) == mine._long(raw)
-    assert not mine.queue.top and not any(mine.queue.low) and not any(mine.queue.sets)
+    given = [bytes(rng.choice(b"abcth er\xc3\xa9") for _ in range(rng.randint(2, 200))) for _ in range(300)] + [b"a" * 240]
+    raw = np.frombuffer(b"".join(given), np.uint8)
+    ids, ends = mine.together(raw, np.cumsum([0, *map(len, given)]))
+    for i, g in enumerate(given):
+        assert ids[ends[i] : ends[i + 1]].tolist() == mine.piece(g)
+    assert not mine.queue.top and not any(mine.queue.low) and not mine.queue.buckets
+
+
+def test_texts_are_encoded_the_same_together_and_apart(library, monkeypatch):
+    mine = bpe.encoder(PATH, P.PATTERN)
+    texts = noise(500, 8) + [t or "" for t in AWKWARD] + ["s x", "don' ", "x\n 's", " 's don't  'll", "  x"]
+    ids, ends = mine.encode_slice(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "SLICE", 5)
+    for t in texts:
+        parts = list(bpe._parts(t))
+        assert "".join(parts) == t and [i for p in parts for i in mine.encode(p)] == library.encode_ordinary(t)
+
+
+def test_very_long_texts(spark, library):
+    words = ["the ", "Ωmega", " x9 ", "\n\n", "straße ", "zq"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(words) for _ in range(1_500_000)), "ab" * 500_000]
+    got = {r.doc_id: r for r in bpe.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, P.PATTERN).collect()}
+    for i, t in enumerate(texts[:1]):
+        ids = library.encode_ordinary(t)
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert [got[i].decoded_sha256 for i in range(2)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
 
 
 def test_rank_queue_pops_in_order():
@@ -60,7 +85,7 @@ def test_rank_queue_pops_in_order():
 
 
 def test_memo_is_bounded():
-    m = bpe.Memo(len, 10, 5)
+    m = Memo(len, 10, 5)
     assert [m[str(i)] for i in range(100)] == [len(str(i)) for i in range(100)]
     assert len(m) <= 10 and len(m.old) <= 10 and m["x" * 50] == 50 and "x" * 50 not in m
 
@@ -78,8 +103,8 @@ def test_counts_are_the_library_s(spark):
     mine, theirs = tokencount.counter(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = noise(3000, 5) + [t or "" for t in AWKWARD]
     want = [len(e.ids) for e in theirs.encode_batch(texts, add_special_tokens=False)]
-    for chunk in (1, 3, 1 << 16):
-        assert [mine.count(t, chunk) for t in texts] == want
+    assert mine.texts(pa.array(texts, pa.large_string())).tolist() == want
+    assert [mine.count(t) for t in texts] == want
     frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(AWKWARD)] + [(0, None, 0)], "doc_id long, text string, n_bytes int")
     got = tokencount.report(frame, P.path("word_bpe_49k.json"), 20).collect()
     assert {tuple(r) for r in got} == {(i, len((t or "").encode()), n, n > 20) for i, (t, n) in enumerate(zip(AWKWARD, want[3000:], strict=True))}
@@ -88,13 +113,40 @@ def test_counts_are_the_library_s(spark):
 
 def test_chunk_maps_compose():
     c = tokencount.counter(P.path("word_bpe_49k.json"))
-    rng = random.Random(9)
-    for t in noise(100, 8):
-        cuts = sorted(rng.randrange(len(t) + 1) for _ in range(3))
-        a, b, d, e = (c.chunk_map(t[i:j]) for i, j in zip([0, *cuts], [*cuts, len(t)], strict=True))
-        left = c.compose(c.compose(c.compose(a, b), d), e)
-        assert left == c.compose(a, c.compose(b, c.compose(d, e))) == c.scan([a, b, d, e])[-1]
-        assert c.compose(("", None, ""), a) == a == c.compose(a, ("", None, ""))
+    rng, tr = random.Random(9), c.transducer
+    for k in range(200):
+        raw = "".join(rng.choice("theranionéß") for _ in range(rng.randint(1, 90))).encode()
+        want = tr.count(raw)
+        assert all(tr.count(raw, chunk, before) == want for chunk in (1, 3, 10) for before in (0, 1, 8)), raw
+        cuts = sorted(rng.randrange(len(raw) + 1) for _ in range(2))
+        a, b, d = (tokencount.StateMap(tr, raw[i:j], tr.content[tr.START]) for i, j in zip([0, *cuts], [*cuts, len(raw)], strict=True))
+        other = tr.content[tr.through(tr.START, raw[:k % 7])[0]]
+        for state in (tr.content[tr.START], other):
+            assert a.then(b).then(d).at(state) == a.then(b.then(d)).at(state) == tokencount.StateMap(tr, raw, state).at(state)
+
+
+def test_full_states_are_forgotten(monkeypatch):
+    c = tokencount.counter(P.path("word_bpe_49k.json"))
+    text = "".join(random.Random(4).choice("qwertyuiopasdfgé") for _ in range(5000))
+    want = len(Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    monkeypatch.setattr(c.transducer, "MOST", 50)
+    assert c.transducer.count(text.encode(), 100, 16) == want
+
+
+def test_text_without_white_space_takes_linear_memory():
+    c, theirs = tokencount.counter(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    part = "".join(random.Random(12).choice("theranionstqq") for _ in range(50_000))
+    assert c.count(part * 4) == len(theirs.encode(part * 4, add_special_tokens=False).ids)
+    peaks = []
+    for times in (20, 80):  # 1 and 4 million letters
+        c.count(part * 2)
+        tracemalloc.start()
+        c.count(part * times)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 16 * 80 * len(part)
+    marks = "9,9;" * 300_000
+    assert c.count(marks) == 1_200_000
 
 
 def test_transducer_states_are_few():
