@@ -9,29 +9,36 @@ may begin a longer token, the token before them and the difference in count; equ
 sets are one state, and the set of states is finite.
 
 White space is dropped and ends every word, so it brings the transducer to its start
-state. A text is cut into chunks; the map of a chunk from state to (state, count) is
-its head before the first white space, the count of its middle, and its tail after
-the last one. Maps compose associatively and are combined by a prefix scan, level by
-level. Runs from white space to white space are remembered as single transitions.
+state. The distinct runs without white space of many texts are looked at once each. A
+very long word, as texts without white space have, is cut into chunks. A chunk's map
+takes a state to the state behind the chunk and the tokens between; it is known for
+the states that words leave behind which begin a little before the chunk, since states
+hardly depend on what is far away, and found by another run over the chunk for any
+other state. Maps compose associatively and are combined in the tree of a parallel
+prefix scan; memory follows the text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
-from .common import only, strings
+from .common import Memo, kept, offsets, only, pieces, strings, tidy
 
-CHUNK = 1 << 16
+#: Bytes of a chunk of a very long word, and of what is read before it to guess its state.
+CHUNK, BEFORE = 1 << 16, 256
+#: Bytes of text whose distinct runs are looked at together, and runs of a longer text.
+SLICE, RUNS = 4 << 20, 500_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -45,6 +52,8 @@ class Transducer:
     """Counts the tokens of one pre-token. Symbols 0-255 are bytes, 256-511 bytes that end the word."""
 
     START = 0
+    #: States above which a word begins with none.
+    MOST = 150_000
 
     def __init__(self, merges: list[tuple[str, str]], suffix: str):
         byte = _byte_of()
@@ -83,6 +92,10 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, int]]] = []
         self._state(((0, -1, 0),))
 
+    def restart_if_full(self) -> None:
+        if len(self.content) > self.MOST:
+            self.restart()
+
     def _state(self, content: tuple) -> int:
         if (s := self.states.get(content)) is None:
             s = self.states[content] = len(self.content)
@@ -125,36 +138,87 @@ class Transducer:
             known = self.moves[state][symbol] = (self._state(content), added)
         return known
 
-    def count(self, raw: bytes) -> int:
-        """Tokens of a whole pre-token."""
-        state, total = self.START, 0
-        for b in raw[:-1]:
-            state, added = self.move(state, b)
+    def through(self, state: int, raw: bytes) -> tuple[int, int]:
+        """The state behind some bytes inside a word, and the tokens that they add."""
+        total, moves, move = 0, self.moves, self.move
+        for b in raw:
+            state, added = moves[state].get(b) or move(state, b)
             total += added
-        return total + self.move(state, raw[-1] + 256)[1] if raw else 0
+        return state, total
+
+    def count(self, raw: bytes, chunk: int = CHUNK, before: int = BEFORE) -> int:
+        """Tokens of a whole pre-token."""
+        if not raw:
+            return 0
+        inner = raw[:-1]
+        if len(inner) <= chunk:
+            state, total = self.through(self.START, inner)
+        else:
+            cuts = range(0, len(inner), chunk)
+            maps = [StateMap(self, inner[i : i + chunk], self.content[self.through(self.START, inner[max(0, i - before) : i])[0]]) for i in cuts]
+            while len(maps) > 1:  # the scan's upward half: neighbours by pairs, in log2(n) levels
+                maps = [a.then(b) for a, b in zip(maps[::2], maps[1::2], strict=False)] + maps[len(maps) & ~1 :]
+            after, total = maps[0].at(self.content[self.START])
+            state = self._state(after)
+        return total + self.move(state, raw[-1] + 256)[1]
+
+
+class StateMap:
+    """What a chunk does to states: state -> (state behind it, tokens). States go by their contents, which outlive a restart."""
+
+    def __init__(self, transducer: Transducer, raw: bytes, guess: tuple):
+        self.transducer, self.raw = transducer, raw
+        self.known = {guess: self._run(guess)}
+
+    def _run(self, state: tuple) -> tuple[tuple, int]:
+        self.transducer.restart_if_full()
+        after, total = self.transducer.through(self.transducer._state(state), self.raw)
+        return self.transducer.content[after], total
+
+    def at(self, state: tuple) -> tuple[tuple, int]:
+        if state not in self.known:
+            self.known[state] = self._run(state)
+        return self.known[state]
+
+    def then(self, other: StateMap) -> StateMap:
+        """First this, then the other one: associative."""
+        return _Both(self, other)
+
+
+class _Both(StateMap):
+    """A composition; known where its first part is."""
+
+    def __init__(self, first: StateMap, second: StateMap):
+        self.first, self.second = first, second
+        self.known = {s: self._run(s) for s in first.known}
+
+    def _run(self, state: tuple) -> tuple[tuple, int]:
+        middle, a = self.first.at(state)
+        after, b = self.second.at(middle)
+        return after, a + b
 
 
 class TokenCounter:
     """Counts as the library reads the file: lower case, NFC, special strings found in the text as it is."""
 
-    #: Entries of each memo's two generations, the longest text that is remembered, and the most states.
-    KEPT, KEPT_CHARS, STATES = 250_000, 40, 150_000
+    #: Entries of each memo's two generations, and the longest word or run that is remembered.
+    KEPT, KEPT_CHARS = 100_000, 40
+    #: Characters of a run whose words are listed; those of a longer one come one by one.
+    LISTED = 1 << 16
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
         model = given["model"]
         self.transducer = Transducer([tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], model["end_of_word_suffix"])
-        self.words = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         added = sorted((t["content"] for t in given["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        #: Run without white space -> its tokens: one long transition from the start state to itself; and so for its words.
-        self.known = Memo(self.run, self.KEPT, self.KEPT_CHARS)
         self.counts = Memo(self._word, self.KEPT, self.KEPT_CHARS)
+        self.known = Memo(self.run, self.KEPT, self.KEPT_CHARS)
 
     def _word(self, word: str) -> int:
-        if len(self.transducer.content) > self.STATES:
-            self.transducer.restart()
+        self.transducer.restart_if_full()
         return self.transducer.count(word.encode("utf-8", "surrogatepass"))
 
     def run(self, text: str) -> int:
@@ -166,86 +230,60 @@ class TokenCounter:
             text = "".join(map(str.lower, text))  # letter by letter: no final form of sigma
         else:
             text = text.lower()
-        return sum(map(self.counts.__getitem__, self.words(text)))
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """The chunk's map on states: (head, count, tail); without white space only a head, and count is None."""
-        runs = _split(chunk)
-        if len(runs) == 1:
-            return runs[0], None, ""
-        return runs[0], sum(map(self.known.__getitem__, filter(None, runs[1:-1]))), runs[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """First a, then b. Associative, with ("", None, "") as its one."""
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        return (a[0], a[1] + self.known[a[2] + b[0]] + b[1], b[2])
+        words = self.words.findall(text) if len(text) <= self.LISTED else (m[0] for m in self.words.finditer(text))
+        return sum(map(self.counts.__getitem__, words))
 
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """All prefixes' maps, in log2(n) levels of independent compositions."""
-        step = 1
-        while step < len(maps):
-            maps = [m if i < step else self.compose(maps[i - step], m) for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        for a, b in pieces(texts, SLICE):
+            if b - a == 1:  # maybe very long
+                text = texts[a].as_py()
+                found = (m[0] for m in (_ODD_RUN if _ODD.search(text) else _RUN).finditer(text))
+                while some := list(islice(found, RUNS)):
+                    out[a] += self._runs(some).sum()
+                continue
+            lists = [_ODD_RUN.findall(t) if _ODD.search(t) else t.split() for t in texts.slice(a, b - a).to_pylist()]
+            doc = np.repeat(np.arange(a, b), list(map(len, lists)))
+            np.add.at(out, doc, self._runs([r for found in lists for r in found]))
+        return out
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)]
-        head, middle, tail = self.scan(maps)[-1]
-        return self.known[head] + (middle or 0) + (self.known[tail] if tail else 0)
+    def _runs(self, runs: list[str]) -> np.ndarray:
+        """Tokens of each run; distinct ones are counted once."""
+        coded = pa.array(runs, pa.large_string()).dictionary_encode()
+        return np.array(list(map(self.known.__getitem__, coded.dictionary.to_pylist())), np.int64)[coded.indices.to_numpy()] if runs else np.zeros(0, np.int64)
 
+    def count(self, text: str) -> int:
+        return int(self.texts(pa.array([text], pa.large_string()))[0])
 
-_SPACE = regex.compile(r"\s")
-#: What str.split takes for white space and the tokenizer's pattern doesn't.
-_ODD = regex.compile("[\x1c-\x1f]")
 
-
-def _split(text: str) -> list[str]:
-    """The runs between white space; the first and the last may be empty."""
-    if _ODD.search(text):
-        return _SPACE.split(text)
-    runs = text.split()
-    if not text or text[0].isspace():
-        runs.insert(0, "")
-    if text and text[-1].isspace() and len(text) > 0:
-        runs.append("")
-    return runs
-
-
-_open: dict[str, TokenCounter] = {}
+#: Runs without white space; what `re` takes for white space and the tokenizer doesn't needs another pattern.
+_RUN, _ODD, _ODD_RUN = re.compile(r"\S+"), re.compile("[\x1c-\x1f]"), regex.compile(r"\S+")
 
 
 def counter(path: str) -> TokenCounter:
-    if path not in _open:
-        _open[path] = TokenCounter(path)
-    return _open[path]
+    return kept(("tokens", path), lambda: TokenCounter(path))
 
 
 def counted(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, n_bytes (UTF-8) and n_tokens of every whole text.
 
-    A null text counts as empty. Rows are independent: repeated rows give repeated results.
+    A null text counts as empty. Rows are independent: repeated rows give repeated
+    results, an empty table gives none. A very long text is counted by the task that has
+    its row, in memory that follows the text and not the number of its tokens. Other
+    columns of `docs` don't matter, whatever their names.
     """
     schema = only(docs, *keep).schema.add("n_bytes", "long").add("n_tokens", "long")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
             texts = strings(batch.column(len(keep)))
-            values = [t.as_py() for t in texts]
-            sizes = [hi - lo for lo, hi in pairwise(_offsets(texts))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(list(map(c.count, values)), pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.diff(offsets(texts))), pa.array(c.texts(texts))], names=schema.names)
 
     return only(docs, *keep, text).mapInArrow(run, schema)
 
 
-def _offsets(texts: pa.Array) -> list[int]:
-    import numpy as np
-
-    return np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1].tolist()
-
-
 def report(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     return counted(docs, path).withColumn("over_limit", F.col("n_tokens") > limit)

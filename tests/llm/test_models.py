@@ -246,7 +246,7 @@ def brute_classes(rows, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] == rows[j][0] or sets[i] and sets[j] and len({*sets[i]} & {*sets[j]}) > 0 and slow_similarity(sets[i], sets[j]) >= least - 1e-12:
+            if rows[i][0] == rows[j][0] or not sets[i] and not sets[j] or sets[i] and sets[j] and len({*sets[i]} & {*sets[j]}) > 0 and slow_similarity(sets[i], sets[j]) >= least - 1e-12:
                 top[find(i)] = find(j)
     least_id = {}
     for i, (d, _) in enumerate(rows):
