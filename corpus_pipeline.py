@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of
-`documents`; a document whose lines all go stays with an empty text. Rows with a null
-id or text pass by the rules of the operators.
+docs, whatever their names. A null text counts as empty everywhere; an empty table stays
+empty. A document whose lines all go has an empty text then, and of all texts without
+words near dedup keeps the one with the least id. Rows with a null id are judged by the
+classifier and searched for passages like others, but neither lose lines nor count as
+copies. Repeated rows are one document: they lose the same lines and stay or go together.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from histframe.llm import bpe, decontam, linededup, probminhash, quality_model
 from histframe.llm.common import release, shared_dir
@@ -29,8 +31,7 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that an earlier one holds; n_chars follows the text."""
     release(spark, "pipeline")
-    out = linededup.dedup_lines(docs, scope="pipeline")
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*docs.columns)
+    return linededup.without_lines(docs, length="n_chars", scope="pipeline")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no window of the benchmark."""
     release(spark, "pipeline")
-    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"), scope="pipeline")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

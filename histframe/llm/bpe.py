@@ -37,7 +37,7 @@ _ONE = [1 << i for i in range(1 << _BITS)]
 #: Longest pre-token, in bytes, that shares a queue with others.
 SHORT = 240
 #: Bytes of text that are encoded at once; a longer text is cut where a space begins a pre-token.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class RankQueue:

@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import only, partitions, strings, written
+from .common import numbered, only, partitions, pieces, restored, strings, tidy, written
 
 LEAST = 10
 _BLANK = b" \t\n\v\f\r"
@@ -38,25 +40,28 @@ def line_key(line: bytes, least: int = LEAST) -> bytes | None:
     return key
 
 
+#: Lines that are hashed before they are handed on, and bytes of text that are joined or cut at once.
+LINES, SLICE = 100_000, 4 << 20
+
+
 def _lines(least: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, docs, where, sums, sizes = [], [], [], [], []
             ids = batch.column(0).to_pylist()
-            texts = strings(batch.column(1)).cast(pa.large_binary())
-            for doc, text in zip(ids, texts, strict=True):
-                raw = text.as_py()
-                lines = raw.split(b"\n")
+            for doc, text in zip(ids, strings(batch.column(1)).cast(pa.large_binary()), strict=True):
                 if doc is None:
                     continue
-                row = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                for i, line in enumerate(lines):
+                raw = text.as_buffer()
+                row, n = xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw.to_pybytes().count(b"\n") + 1
+                for i, line in enumerate(io.BytesIO(raw)):  # line by line, however many a text has
                     if (key := line_key(line, least)) is not None:
                         digests.append(xxhash.xxh3_128_digest(key))
-                        docs.append(doc), where.append(i), sums.append(row), sizes.append(len(lines))
-                if len(digests) > 200_000:
-                    yield _packed(digests, docs, where, sums, sizes)
-                    digests, docs, where, sums, sizes = [], [], [], [], []
+                        docs.append(doc), where.append(i), sums.append(row), sizes.append(n)
+                        if len(digests) == LINES:
+                            yield _packed(digests, docs, where, sums, sizes)
+                            digests, docs, where, sums, sizes = [], [], [], [], []
             yield _packed(digests, docs, where, sums, sizes)
 
     return run
@@ -67,6 +72,7 @@ def _packed(digests, docs, where, sums, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(where, pa.int32()), pa.array(sums, pa.int64()), pa.array(sizes, pa.int32())], names=["h1", "h2", "doc", "pos", "row", "n"])
 
 
+@tidy
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition: kind 0, dropped rows; 1, rows of its first run; 2, first and last run with their first document."""
     lead = last = None  # (h1, h2, first document)
@@ -103,6 +109,7 @@ def unpack(bitmap: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n).astype(bool)
 
 
+@tidy
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column(2).to_pylist()
@@ -134,23 +141,26 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
 
 def _apply(at: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *columns, maps = batch.columns
-            kept, sizes = [], []
-            for text, keep in zip(strings(batch.column(at)).cast(pa.large_binary()), maps, strict=True):
-                raw = text.as_py()
-                n = raw.count(b"\n") + 1
-                if keep.is_valid:
-                    raw = b"\n".join(x for x, k in zip(raw.split(b"\n"), unpack(keep.as_py(), n).tolist(), strict=True) if k)
-                kept.append(raw)
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "kept_text", "n_lines"])
+            texts = strings(batch.column(at)).cast(pa.large_binary())
+            for a, b in pieces(texts, SLICE):
+                left, sizes = [], []
+                for text, keep in zip(texts.slice(a, b - a), batch.column(-1).slice(a, b - a), strict=True):
+                    raw = text.as_py()
+                    n = raw.count(b"\n") + 1
+                    if keep.is_valid:
+                        raw = b"\n".join(itertools.compress(raw.split(b"\n"), unpack(keep.as_py(), n)))
+                    left.append(raw)
+                    sizes.append(n)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(left, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "kept_text", "n_lines"])
 
     return run
 
 
 def _with_row(at: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(at)).cast(pa.large_binary())
@@ -168,20 +178,47 @@ def _extended(schema: StructType, **more: str) -> StructType:
     return schema
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, scope: str = "session") -> DataFrame:
-    """docs with n_dropped, kept_text and n_lines (before dropping); columns of these names are replaced.
+OUTPUT = ("n_dropped", "kept_text", "n_lines")
 
-    Cases as in ``keep_bitmaps``. A document all of whose lines go keeps an empty text.
-    """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_row", "_keep")
-    at = docs.columns.index(text)
-    maps = keep_bitmaps(docs, doc_id, text, least, scope)
+
+def _deduped(plain: DataFrame, doc_id: str, text: str, least: int, scope: str) -> DataFrame:
+    """The columns as they are and, last, those of OUTPUT; column names don't clash here."""
+    at = plain.columns.index(text)
+    maps = keep_bitmaps(plain, doc_id, text, least, scope)
     # the bitmaps know a row by its id and the hash of its text
-    named = docs.mapInArrow(_with_row(at), _extended(docs.schema, _row="long"))
+    named = plain.mapInArrow(_with_row(at), _extended(plain.schema, _row="long"))
     same = (named[doc_id].cast("long") == maps["doc"]) & (named["_row"] == maps["row"])
-    joined = named.join(maps, same, "left").select(*(named[c] for c in docs.columns), F.coalesce(maps["n_dropped"], F.lit(0).cast("long")).alias("n_dropped"), maps["keep"].alias("_keep"))
-    schema = _extended(docs.schema, n_dropped="long", kept_text="string", n_lines="long")
-    return joined.mapInArrow(_apply(at), schema)
+    joined = named.join(maps, same, "left").select(*(named[c] for c in plain.columns), F.coalesce(maps["n_dropped"], F.lit(0).cast("long")).alias("n_dropped"), maps["keep"].alias("_keep"))
+    return joined.mapInArrow(_apply(at), _extended(plain.schema, n_dropped="long", kept_text="string", n_lines="long"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, scope: str = "session") -> DataFrame:
+    """docs with n_dropped, kept_text and n_lines (before dropping).
+
+    Cases as in ``keep_bitmaps``. A document all of whose lines go keeps an empty text;
+    an empty table stays empty. Columns named like these three (in any case) are
+    replaced, all others stay, clashing names among them.
+    """
+    plain, names = numbered(docs)
+    out = _deduped(plain, f"c{names.index(doc_id)}", f"c{names.index(text)}", least, scope)
+    keep = [i for i, n in enumerate(names) if n.lower() not in OUTPUT]
+    return restored(out, [*(names[i] for i in keep), *OUTPUT], [*keep, *range(len(names), len(names) + len(OUTPUT))])
+
+
+def without_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, length: str | None = None, scope: str = "session") -> DataFrame:
+    """docs with their own columns, whatever their names, and the text without the dropped lines.
+
+    A column called `length`, if there is one, gets the new text's number of code points.
+    Cases as in ``dedup_lines``.
+    """
+    plain, names = numbered(docs)
+    at = names.index(text)
+    out = _deduped(plain, f"c{names.index(doc_id)}", f"c{at}", least, scope)
+    new = {f"c{at}": F.col("kept_text")}
+    if length in names:
+        i = names.index(length)
+        new[f"c{i}"] = F.char_length("kept_text").cast(plain.schema[i].dataType)
+    return restored(out.withColumns(new), names, range(len(names)))
 
 
 def report(docs: DataFrame) -> DataFrame:

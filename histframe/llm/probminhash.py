@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, Words, mixed, only, pieces, shingle_hashes, strings, word_hashes, written
+from .common import _P, Words, mixed, numbered, only, pieces, restored, shingle_hashes, strings, tidy, word_hashes, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -37,6 +37,10 @@ BANDS, ROWS = 24, 6
 MARGIN = 4.0
 #: Members of a block, neighbours for each in the second pass, and registers of the longer signature.
 GROUP, NEIGHBOURS, LONG = 1024, 2, 1024
+#: Bytes of text whose shingles are looked at at once.
+SLICE = 1 << 20
+#: A bucket with more than one in so many rows is hot; there are no more than so many of them.
+HOT = 2048
 _U = 1.0 / (1 << 53)
 
 
@@ -84,23 +88,12 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: i
     return kept.reshape(docs, m)
 
 
-def probability_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
-    """Sum over common elements d of 1 / sum over e of max(a[e] / a[d], b[e] / b[d])."""
-    both = sorted((d for d in a if d in b), key=lambda d: b[d] / a[d])
-    if not both:
-        return 0.0
-    x, y = np.array([a[d] for d in both]), np.array([b[d] for d in both])
-    # with t = y / x rising, element e takes the side of b for d exactly if t[e] > t[d]
-    rest_a, rest_b = sum(a.values()) - x.sum(), sum(b.values()) - y.sum()
-    ca, cb = np.cumsum(x), y.sum() - np.cumsum(y)
-    return float((1.0 / ((rest_a + ca) / x + (rest_b + cb) / y)).sum())
-
-
 def _profile(text: int, width: int, bands: int, rows: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(text))
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, SLICE):
                 doc, shingle, weight, whole = weighted(texts.slice(a, b - a), width)
                 kept = signatures(doc, shingle, weight, b - a, bands * rows)
                 some = np.bincount(doc, minlength=b - a) > 0
@@ -118,10 +111,11 @@ def _profile(text: int, width: int, bands: int, rows: int):
 def _shingles(width: int):
     """(doc, shingles, weights) of each text, sorted by shingle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, SLICE):
                 doc, shingle, weight, _ = weighted(texts.slice(a, b - a), width)
                 ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=b - a))], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (shingle.view(np.int64), weight.astype(np.int32))]
@@ -146,6 +140,7 @@ def similarity(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> fl
 
 
 def _verify(least: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy() for i in range(2))
@@ -201,6 +196,7 @@ def _cut(least: float, m: int) -> float:
 def _estimated(least: float):
     """The pairs (a, b, sa, sb) whose registers come near the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _sigs(batch.column(2)), _sigs(batch.column(3))
@@ -240,6 +236,7 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 def _nearest(least: float):
     """Of (group, doc, class, sig): each member with its nearest ones of other classes, if they come near the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, doc, kind, sig in _by_group(batches):
             for i in range(0, len(doc), 64):  # in strips, so that memory follows a strip and not the square
@@ -255,6 +252,7 @@ def _nearest(least: float):
 def _outside(least: float):
     """Of (group, doc, class, outside, sig, long): pairs of an outsider and a member of another class that come near the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, doc, kind, out, sig, long in _by_group(batches):
             a, b = np.flatnonzero(out), np.flatnonzero(~out)
@@ -273,6 +271,7 @@ def _outside(least: float):
 def _long(m: int):
     """(doc, long): a byte of each of m registers, from shingles."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -286,25 +285,35 @@ def _long(m: int):
     return run
 
 
+def _by_bucket(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """rows joined with a row about each bucket that holds n of them; hot buckets stay where they are."""
+    least = (about.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = F.broadcast(about.where(F.col("n") > least))  # fewer than HOT rows
+    rest = rows.join(hot.select("bucket"), "bucket", "left_anti").join(about.where(F.col("n") <= least), "bucket")
+    return rows.join(hot, "bucket").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, scope: str = "session") -> DataFrame:
     """(doc, copy_of, class_id): copy_of is the least id with the same words, class_id the least id of its class.
 
     A class holds what links of probability Jaccard >= `least` connect; weights are
     occurrences of shingles of `width` words, or of the whole text if it has fewer
-    words. Texts without words (null, empty) resemble nothing: each is its own class.
-    Rows with the same id count as one node, a null id gets no row. With `bands` and
-    `rows` as they are a pair at 0.8 shares a bucket with probability 0.999, at 0.85
-    0.99999, and MARGIN loses 3 of 100,000 pairs at 0.8.
+    words. Texts without words (null, empty) are copies of each other and resemble
+    nothing else. Rows with the same id count as one node, a null id gets no row, an
+    empty table none at all; other columns of `docs` don't matter, whatever their names.
+    Of a very long text its words and shingles are held, some 100 bytes for each word.
+    With `bands` and `rows` as they are a pair at 0.8 shares a bucket with probability
+    0.999, at 0.85 0.99999, and MARGIN loses 3 of 100,000 pairs at 0.8.
     """
-    texts = only(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    texts = only(docs, doc_id, text).toDF("doc", "text").withColumn("doc", F.col("doc").cast("long")).where("doc is not null")
     seen = written(texts.mapInArrow(_profile(1, width, bands, rows), "doc long, k1 long, k2 long, some boolean, bands array<long>, sig binary"), "profiles", scope)
     # copies: the least id of each word sequence; partial sums, so that a hot one is no hot task
-    first = seen.where("some").groupBy("k1", "k2").agg(F.min(F.struct("doc", "bands", "sig")).alias("m")).select("k1", "k2", "m.*")
-    first = written(first, "firsts", scope)
-    members = seen.join(first.select("k1", "k2", F.col("doc").alias("copy_of")), ["k1", "k2"], "left").select("doc", F.coalesce(F.when(F.col("some"), F.col("copy_of")), "doc").alias("copy_of")).distinct()
-    buckets = first.select("doc", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("bucket", "pivot")
-    inside = written(buckets.join(shared, "bucket").select("bucket", "doc", "pivot").distinct(), "buckets", scope)
+    least_ids = written(seen.groupBy("k1", "k2").agg(F.min("doc").alias("doc")), "leasts", scope)
+    members = seen.select("doc", "k1", "k2").join(least_ids.withColumnRenamed("doc", "copy_of"), ["k1", "k2"]).select("doc", "copy_of").distinct()
+    first = written(seen.where("some").join(least_ids, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"]), "firsts", scope)
+    buckets = first.select("doc", F.explode("bands").alias("bucket")).distinct()
+    shared = written(buckets.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "shared", scope)
+    inside = written(_by_bucket(buckets, shared).select("bucket", "doc", "pivot"), "buckets", scope)
     nodes = inside.select("doc").distinct()
     own = written(first.select("doc", "sig").join(nodes, "doc"), "nodes", scope)
     shingles = written(texts.join(nodes, "doc", "left_semi").mapInArrow(_shingles(width), "doc long, sh array<long>, w array<int>").dropDuplicates(["doc"]), "shingles", scope)
@@ -324,25 +333,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         top = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), classes.select(F.col("class").alias("doc")).distinct(), scope)
         return written(classes.join(top.select(F.col("doc").alias("class"), F.col("class").alias("top")), "class").select("doc", F.col("top").alias("class")), "classes", scope)
 
-    def open_buckets(classes: DataFrame) -> DataFrame:
-        """(bucket, doc, class, n) of the buckets with several classes."""
+    def open_buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(bucket, doc, class) of the buckets with several classes, and about each of these n, main, its largest class, and others, the members outside."""
         held = inside.select("bucket", "doc").join(classes, "doc")
-        sizes = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket", "n")
-        return written(held.join(sizes, "bucket"), "open", scope)
+        sizes = held.groupBy("bucket", "class").agg(F.count("*").alias("k"))
+        about = sizes.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+        return held, written(about.select("bucket", "n", F.col("top.class").alias("main"), (F.col("n") - F.col("top.k")).alias("others")), "open", scope)
 
     stars = inside.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     sided = stars.join(own.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(own.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     classes = written(components(verified(sided.mapInArrow(_estimated(least), "a long, b long")), nodes, scope), "classes", scope)
 
     block = lambda: F.expr(f"pmod(xxhash64(doc), cast(ceil(n / {GROUP}) as bigint))")
-    groups = open_buckets(classes).withColumn("g", F.xxhash64("bucket", block())).join(own, "doc").select("g", "doc", "class", "sig")
+    held, about = open_buckets(classes)
+    groups = _by_bucket(held, about.select("bucket", "n")).withColumn("g", F.xxhash64("bucket", block())).join(own, "doc").select("g", "doc", "class", "sig")
     near = groups.repartition("g").sortWithinPartitions("g").mapInArrow(_nearest(least), "a long, b long").distinct()
     classes = joined(classes, verified(near))
 
-    held = open_buckets(classes)
-    largest = held.groupBy("bucket", "class").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("main"))
-    counts = held.join(largest, "bucket").groupBy("bucket", "main").agg(F.sum((F.col("class") != F.col("main")).cast("long")).alias("others"))
-    held = held.join(counts, "bucket")
+    held = _by_bucket(*open_buckets(classes))
     many, few = F.ceil(F.col("n") / GROUP).cast("long"), F.ceil(F.col("others") / GROUP).cast("long")
     # outsiders meet every block of members, members every block of outsiders
     out = held.where("class != main").select("bucket", "doc", "class", F.lit(True).alias("outside"), F.pmod(F.xxhash64("doc"), few).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("m"))
@@ -361,6 +369,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "session") -> DataFrame:
-    """docs without near copies: of each class the document with the least id stays; rows without an id stay."""
-    gone = near_duplicates(docs, doc_id, text, scope=scope).where("doc != class_id").select(F.col("doc").alias("_gone"))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    """docs without near copies, with their own columns, whatever their names.
+
+    Of each class the document with the least id stays, and so does one of all texts
+    without words; rows without an id stay, and repeated rows stay or go together.
+    """
+    plain, names = numbered(docs)
+    gone = near_duplicates(docs, doc_id, text, scope=scope).where("doc != class_id").select(F.col("doc").alias("gone"))
+    left = plain.join(gone, F.col(f"c{names.index(doc_id)}").cast("long") == F.col("gone"), "left_anti")
+    return restored(left, names, range(len(names)))
