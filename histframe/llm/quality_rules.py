@@ -2,9 +2,15 @@
 
 A sketch is a histogram over fixed bins whose width is bounded relative to the value:
 exact counts per (language, source, bin), merged by addition, so partial aggregates
-merge in any order to the same sketch. A document is dropped where a rate lies far
-beyond what is usual in its group: above the median plus a multiple of the distance
-to the upper quartile, and above a floor that clean text never reaches.
+merge in any order to the same sketch. Three measures have one: symbols a character,
+repeated lines a line, and the mean length of words. A share that is mostly 0 tells
+nothing by its quartiles, so a sketch holds its upper estimate (one more found among one
+more looked at), which spreads with the texts' lengths; a document is dropped where even
+its plain share lies beyond what the upper estimates of its group call usual: above the
+upper quartile by several times the distance of the quartiles, for word lengths also
+below the lower one. There are no fixed limits: a group too small or too flat for
+quartiles of its own takes those of its language, and these those of all documents,
+which are sums of sketches.
 
 Everything on the main path is a DataFrame or SQL function.
 """
@@ -16,12 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-#: Least rate, in thousandths, that a rule may drop at, per rule.
-FLOORS = {"symbols": 60, "dup_lines": 300}
-#: Lines that count as unlike any other, so that one repeat in a text of three lines is no rate.
-SMOOTH = 8
-#: How many quartile distances above the median still count as usual.
-SPREAD = 6
+#: How many quartile distances beyond the quartiles are still usual; a share of lines is at most 1, so three suffice.
+SPREAD = {"symbols": 6, "dup_lines": 3, "word_length": 6}
+#: Documents below which a group has no quartiles of its own.
+LEAST = 50
 
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -57,54 +61,82 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     return basic.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(f"if(size(_h) = size(array_distinct(_h)), 0L, {covered})").alias("n_repeat_words"))
 
 
-def rates() -> dict[str, Column]:
-    """What the sketches hold, in thousandths, rounded down; null where a text has no words."""
-    return {
-        "symbols": F.expr("if(n_words = 0, null, 1000 * n_symbols div word_chars)"),
-        "dup_lines": F.expr(f"if(n_words = 0, null, 1000 * n_dup_lines div (n_lines + {SMOOTH}))"),
-    }
+#: Per rule what its sketch holds and what is judged, rounded down; null where a text has no words.
+ESTIMATES = {
+    "symbols": ("100000 * (n_symbols + 1) div (word_chars + 1)", "100000 * n_symbols div word_chars"),
+    "dup_lines": ("1000 * (n_dup_lines + 1) div (n_lines + 1)", "1000 * n_dup_lines div n_lines"),
+    "word_length": ("100 * word_chars div n_words", "100 * word_chars div n_words"),
+}
 
 
-def bin_of(rate: str) -> Column:
-    """The sketch's bin: rates below 64 have their own; above, bins are at most 1/32 of their value wide."""
-    return F.expr(f"case when {rate} < 64 then {rate} when {rate} < 128 then {rate} - {rate} % 2 when {rate} < 256 then {rate} - {rate} % 4 when {rate} < 512 then {rate} - {rate} % 8 else {rate} - {rate} % 16 end")
+def _measured(expression: str) -> Column:
+    return F.expr(f"if(n_words = 0, null, {expression})").cast("long")
+
+
+def bin_of(value: str) -> Column:
+    """The sketch's bin: values below 64 have their own; above, bins are at most 1/32 of their value wide."""
+    return F.expr(f"{value} - {value} % shiftleft(1L, greatest(length(bin({value})) - 6, 0))")
 
 
 def sketches(measured: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(groups, rule, bin, n): add up n to merge."""
-    rows = measured.select(*groups, F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in rates())), F.array(*(r.cast("long") for r in rates().values())))).alias("rule", "rate"))
-    return rows.where("rate is not null").groupBy(*groups, "rule", bin_of("rate").alias("bin")).agg(F.count("*").alias("n"))
+    rules = F.map_from_arrays(F.array(*(F.lit(r) for r in ESTIMATES)), F.array(*(_measured(e) for e, _ in ESTIMATES.values())))
+    return measured.select(*groups, F.explode(rules).alias("rule", "rate")).where("rate is not null").groupBy(*groups, "rule", bin_of("rate").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(groups, symbols_most, dup_lines_most): the largest usual rate of each rule."""
-    # a group's window holds one row a bin, a few hundred at most
+def quartiles(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(groups, rule, q1, q3) of the groups that are large and spread enough, from sketches of these or finer groups."""
+    merged = sketch.groupBy(*groups, "rule", "bin").agg(F.sum("n").alias("n"))
+    # a group's window holds one row a bin, some hundreds at most
     w = Window.partitionBy(*groups, "rule").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    run = sketch.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(*groups, "rule"))})
-    at = run.groupBy(*groups, "rule").agg(F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bin"))).alias("q2"), F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3"))
-    most = at.withColumn("most", F.col("q2") + SPREAD * (F.col("q3") - F.col("q2")))
-    return most.groupBy(*groups).agg(*(F.greatest(F.max(F.when(F.col("rule") == r, F.col("most"))), F.lit(FLOORS[r]).cast("long")).alias(f"{r}_most") for r in rates()))
+    run = merged.withColumns({"upto": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy(*groups, "rule"))})
+    at = run.where(F.col("all") >= LEAST).groupBy(*groups, "rule").agg(*(F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bin"))).alias(f"q{k}") for k in (1, 3)))
+    return at.where("q1 < q3")
+
+
+def thresholds(sketch: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """(groups, <rule>_least and <rule>_most for each rule, <rule>_own): own tells whether the group's own sketch decides.
+
+    A group takes the quartiles of the first of its prefixes (its language; all
+    documents) that has some; without any, a rule has no limits.
+    """
+    known = sketch.select(*groups, "rule").distinct()
+    for k in range(len(groups), -1, -1):
+        level = quartiles(sketch, groups[:k]).select(F.col("rule").alias("_rule"), *(F.col(g).alias(f"_{g}") for g in groups[:k]), F.struct("q1", "q3").alias(f"_{k}"))
+        on = F.col("rule") == F.col("_rule")
+        for g in groups[:k]:
+            on &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+        known = known.join(level, on, "left").drop("_rule", *(f"_{g}" for g in groups[:k]))
+    q = known.withColumn("q", F.coalesce(*(f"_{k}" for k in range(len(groups), -1, -1)))).withColumn("own", F.col(f"_{len(groups)}").isNotNull())
+    out = []
+    for rule, spread in SPREAD.items():
+        of = lambda c, rule=rule: F.max(F.when(F.col("rule") == rule, c))
+        least = F.col("q.q1") - spread * (F.col("q.q3") - F.col("q.q1")) if rule == "word_length" else F.lit(0).cast("long")
+        out += [of(least).alias(f"{rule}_least"), of(F.col("q.q3") + spread * (F.col("q.q3") - F.col("q.q1"))).alias(f"{rule}_most"), of(F.col("own")).alias(f"{rule}_own")]
+    return q.groupBy(*groups).agg(*out)
 
 
 def judged(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The columns in `keep`, the measures, base_failed and kept of every document.
 
     base_failed: under 50 words, or over half of the words in repeated windows. kept:
-    not base_failed, and no rate above its group's threshold. A null group is a group
-    of its own. The texts are read once; the measured columns are written and read twice.
+    not base_failed, and nothing measured beyond its group's limits, which all documents
+    with words have set. A null or empty text has no words. A null group is a group of
+    its own. Repeated rows count and are judged each; an empty table gives no rows. A
+    very long text is measured whole, in one row's arrays. Other columns of `docs` don't
+    matter, whatever their names. The texts are read once; the measured columns are
+    written and read twice.
     """
     measured = written(measures(docs, text, (*keep, *groups)), "measures")
-    most = thresholds(sketches(measured, groups), groups)
-    limits = most.select(*(F.col(g).alias(f"_{g}") for g in groups), *(f"{r}_most" for r in rates()))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-    on = same[0]
-    for c in same[1:]:
-        on &= c
+    limits = thresholds(sketches(measured, groups), groups).withColumnsRenamed({g: f"_{g}" for g in groups})
+    on = F.lit(True)
+    for g in groups:
+        on &= F.col(g).eqNullSafe(F.col(f"_{g}"))
     joined = measured.join(limits, on, "left").drop(*(f"_{g}" for g in groups))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     usual = F.lit(True)
-    for rule, rate in rates().items():
-        usual &= F.coalesce(rate <= F.col(f"{rule}_most"), F.lit(True))
+    for rule, (_, rate) in ESTIMATES.items():
+        usual &= F.coalesce(_measured(rate).between(F.col(f"{rule}_least"), F.col(f"{rule}_most")), F.lit(True))
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & usual)
 
 

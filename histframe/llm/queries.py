@@ -96,8 +96,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-_RATES = f"""CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_symbols // word_chars END AS r1, CASE WHEN n_words = 0 THEN NULL ELSE 1000 * n_dup_lines // (n_lines + {quality_rules.SMOOTH}) END AS r2"""
-_BIN = "CASE WHEN {0} < 64 THEN {0} WHEN {0} < 128 THEN {0} - {0} % 2 WHEN {0} < 256 THEN {0} - {0} % 4 WHEN {0} < 512 THEN {0} - {0} % 8 ELSE {0} - {0} % 16 END"
+_BIN = "r - r % (CAST(1 AS BIGINT) << greatest(length(bin(r)) - 6, 0))"
+
+
+def _quartiles(level: str) -> str:
+    """The quartiles of sketches s merged to these columns, of groups that are large and spread enough."""
+    by = ", ".join(filter(None, [level, "rule"]))
+    return f"""(SELECT {by}, q1, q3 FROM (SELECT {by}, any_value(total) AS total, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bin, sum(n) AS n FROM s GROUP BY {by}, bin)) GROUP BY {by}) WHERE total >= {quality_rules.LEAST} AND q1 < q3)"""
+
 
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -108,16 +115,19 @@ WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_
      m AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
            FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-     r AS (SELECT *, {_RATES} FROM m),
-     s AS (SELECT lang, source, rule, {_BIN.format("r")} AS bin, count(*) AS n
-           FROM (SELECT lang, source, 1 AS rule, r1 AS r FROM r UNION ALL SELECT lang, source, 2, r2 FROM r) WHERE r IS NOT NULL GROUP BY ALL),
-     c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s),
-     q AS (SELECT lang, source, rule, min(bin) FILTER (WHERE 2 * upto >= total) AS q2, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM c GROUP BY ALL),
-     most AS (SELECT lang, source, greatest(max(q2 + {quality_rules.SPREAD} * (q3 - q2)) FILTER (WHERE rule = 1), {quality_rules.FLOORS["symbols"]}) AS m1,
-                     greatest(max(q2 + {quality_rules.SPREAD} * (q3 - q2)) FILTER (WHERE rule = 2), {quality_rules.FLOORS["dup_lines"]}) AS m2 FROM q GROUP BY ALL)
+     r AS (SELECT *, 100000 * (n_symbols + 1) // (word_chars + 1) AS h1, 1000 * (n_dup_lines + 1) // (n_lines + 1) AS h2, 100 * word_chars // nullif(n_words, 0) AS h3,
+                  100000 * n_symbols // nullif(word_chars, 0) AS r1, 1000 * n_dup_lines // nullif(n_lines, 0) AS r2 FROM m),
+     s AS (SELECT lang, source, rule, {_BIN} AS bin, count(*) AS n
+           FROM (SELECT lang, source, unnest([1, 2, 3]) AS rule, unnest([h1, h2, h3]) AS r FROM r WHERE n_words > 0) GROUP BY ALL),
+     q AS (SELECT k.lang, k.source, k.rule, coalesce(a.q1, b.q1, c.q1) AS q1, coalesce(a.q3, b.q3, c.q3) AS q3 FROM (SELECT DISTINCT lang, source, rule FROM s) AS k
+           LEFT JOIN {_quartiles("lang, source")} AS a ON k.lang IS NOT DISTINCT FROM a.lang AND k.source IS NOT DISTINCT FROM a.source AND k.rule = a.rule
+           LEFT JOIN {_quartiles("lang")} AS b ON k.lang IS NOT DISTINCT FROM b.lang AND k.rule = b.rule
+           LEFT JOIN {_quartiles("")} AS c ON k.rule = c.rule),
+     most AS (SELECT lang, source, max(q3 + {quality_rules.SPREAD["symbols"]} * (q3 - q1)) FILTER (WHERE rule = 1) AS m1, max(q3 + {quality_rules.SPREAD["dup_lines"]} * (q3 - q1)) FILTER (WHERE rule = 2) AS m2,
+                     max(q3 + {quality_rules.SPREAD["word_length"]} * (q3 - q1)) FILTER (WHERE rule = 3) AS m3, max(q1 - {quality_rules.SPREAD["word_length"]} * (q3 - q1)) FILTER (WHERE rule = 3) AS l3 FROM q GROUP BY ALL)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(r1 <= m1, TRUE) AND coalesce(r2 <= m2, TRUE) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(r1 <= m1, TRUE) AND coalesce(r2 <= m2, TRUE) AND coalesce(h3 BETWEEN l3 AND m3, TRUE) AS kept
 FROM r LEFT JOIN most ON r.lang IS NOT DISTINCT FROM most.lang AND r.source IS NOT DISTINCT FROM most.source
 """
 

@@ -260,3 +260,29 @@ def test_warc_of_pages(spark):
     got = [(*tuple(r)[:6], None if r.payload is None else bytes(r.payload)) for r in got]
     assert sorted(map(nulls, got)) == sorted(map(nulls, want))
     assert warc.report(frame.limit(0)).collect() == []
+
+
+def test_limits_are_the_groups_own(spark):
+    """On real-looking tables nearly every group has limits of its own, and good texts stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality_rules.measures(docs, keep=("doc_id", "lang", "source")).cache()
+    limits = quality_rules.thresholds(quality_rules.sketches(measured)).collect()
+    for rule in quality_rules.SPREAD:
+        assert sum(r[f"{rule}_own"] for r in limits) > len(limits) / 2
+        assert len({(r[f"{rule}_least"], r[f"{rule}_most"]) for r in limits}) > len(limits) / 10
+    assert len({r.symbols_most for r in limits}) > len(limits) / 2
+    judged = quality_rules.report(docs).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in judged if r.quality == q] for q in (1, 0))
+    assert sum(good) > 0.995 * len(good) and sum(bad) < 0.1 * len(bad)
+    measured.unpersist()
+
+
+def test_small_and_flat_groups_take_their_language_s_limits(spark):
+    text = lambda n: " ".join(["word"] * n)
+    rows = [(i, text(60 + i), "en", "large") for i in range(100)] + [(200 + i, text(70), "en", "flat") for i in range(60)] + [(300, text(90), "en", "small"), (301, text(90), None, "other"), (302, None, "de", "empty")]
+    limits = {(r.lang, r.source): r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))).collect()}
+    assert set(limits) == {("en", "large"), ("en", "flat"), ("en", "small"), (None, "other")}
+    assert limits["en", "large"].symbols_own and not limits["en", "flat"].symbols_own and not limits["en", "small"].symbols_own
+    assert limits["en", "flat"].symbols_most == limits["en", "small"].symbols_most != limits["en", "large"].symbols_most
+    assert limits[None, "other"].symbols_most == limits["en", "small"].symbols_most  # of all documents, which are nearly all English here
+    assert limits["en", "large"].word_length_most is None  # flat everywhere
