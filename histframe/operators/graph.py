@@ -1,18 +1,24 @@
 """Commit graph: closures, walks, merge bases, nearest tags, names, bisection, integrity.
 
-``closure`` is the one loop: a frontier joined to edges, level by level. Seeds travel
-along as a column, so many starts are followed at once. Every few levels the rows are
-written to the shared folder, which keeps plans short and survives lost executors.
+``closure`` is the one loop: a frontier joined to edges, a few levels at a time. Seeds
+travel along as a column, so many starts are followed at once. After these levels the
+rows are written to the shared folder, which keeps plans short and survives lost
+executors. ``ancestor_counts`` follows runs of single parents by pointer doubling, so
+that only merges need a closure of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from histframe.scratch import written
 
 DAY = 86_400
+#: Levels that one job of a closure goes down.
+STEPS = 4
 
 
 def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, first_parent: bool = False, levels: int | None = None) -> DataFrame:
@@ -28,16 +34,22 @@ def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, f
         seeds = seeds.join(cut, seeds["oid"] == cut["_stop"], "left_anti")
         e = e.join(cut, e["parent"] == cut["_stop"], "left_anti")
     e = written(e, "edges")
-    frontier = written(seeds.select("seed", "oid", F.lit(0).alias("depth")).distinct(), "frontier")
-    seen, depth = frontier, 0
+    frontier = seen = written(seeds.select("seed", "oid", F.lit(0).alias("depth")).distinct(), "frontier")
+    depth = 0
     while levels is None or depth < levels:
-        depth += 1
-        step = frontier.join(e, frontier["oid"] == e["child"]).select("seed", F.col("parent").alias("oid")).distinct()
-        frontier = written(step.join(seen.select("seed", "oid"), ["seed", "oid"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        steps = STEPS if levels is None else min(STEPS, levels - depth)
+        at, found = frontier.select("seed", "oid"), []
+        for k in range(1, steps + 1):
+            at = at.join(e, at["oid"] == e["child"]).select("seed", F.col("parent").alias("oid")).distinct()
+            found.append(at.withColumn("depth", F.lit(depth + k)))
+        new = reduce(DataFrame.unionByName, found).groupBy("seed", "oid").agg(F.min("depth").alias("depth"))
+        new = written(new.join(seen.select("seed", "oid"), ["seed", "oid"], "left_anti"), "frontier")
+        depth += steps
+        seen = seen.unionByName(new)
+        frontier = new.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
+        if depth % (8 * STEPS) == 0:
             seen = written(seen, "seen")
     return seen
 
@@ -64,8 +76,9 @@ def log(commits: DataFrame, edges: DataFrame, tips: DataFrame, excluding: DataFr
 
 
 def rev_list(edges: DataFrame, wants: DataFrame, nots: DataFrame) -> DataFrame:
-    """(oid) reachable from the wants and not from the others, whose whole ancestry goes."""
-    return reachable(edges, wants).select("oid").join(reachable(edges, nots).select("oid"), "oid", "left_anti")
+    """(oid) reachable from the wants and not from the others, whose whole ancestry goes. Both sides share one closure."""
+    sides = seeded(wants, seed=F.lit(0)).unionByName(seeded(nots, seed=F.lit(1)))
+    return closure(edges, sides).groupBy("oid").agg(F.max("seed").alias("side")).where("side = 0").select("oid")
 
 
 def boundary(edges: DataFrame, inside: DataFrame) -> DataFrame:
@@ -80,8 +93,9 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     The common ancestors of two commits are closed downward, so the best ones are those
     that aren't a parent of another.
     """
-    sides = [closure(edges, pairs.select(F.col("pair").alias("seed"), F.col(s).alias("oid"))).select(F.col("seed").alias("pair"), "oid") for s in ("a", "b")]
-    common = written(sides[0].join(sides[1], ["pair", "oid"]), "common")
+    side = lambda s: pairs.select(F.struct("pair", F.lit(s).alias("side")).alias("seed"), F.col(s).alias("oid"))
+    both = closure(edges, side("a").unionByName(side("b"))).groupBy(F.col("seed.pair").alias("pair"), "oid").agg(F.count("*").alias("sides"))
+    common = written(both.where("sides = 2").select("pair", "oid"), "common")
     below = common.join(edges, common["oid"] == edges["child"]).select("pair", F.col("parent").alias("oid")).distinct()
     return common.join(below, ["pair", "oid"], "left_anti")
 
@@ -91,10 +105,40 @@ def merge_base(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return merge_bases(edges, pairs).groupBy("pair").agg(F.min("oid").alias("oid"))
 
 
+def octopus_merge_bases(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, oid): all best common ancestors of all commits of each group (grp, oid)."""
+    sizes = groups.distinct().groupBy("grp").agg(F.count("*").alias("all"))
+    seeds = groups.select(F.struct("grp", F.col("oid").alias("tip")).alias("seed"), "oid")
+    reached = closure(edges, seeds).groupBy(F.col("seed.grp").alias("grp"), "oid").agg(F.count("*").alias("n"))
+    common = written(reached.join(sizes, "grp").where("n = all").select("grp", "oid"), "common")
+    below = common.join(edges, common["oid"] == edges["child"]).select("grp", F.col("parent").alias("oid")).distinct()
+    return common.join(below, ["grp", "oid"], "left_anti")
+
+
 def independent(edges: DataFrame, commits: DataFrame) -> DataFrame:
-    """(oid): the commits that no other of them reaches."""
-    r = closure(edges, seeded(commits)).where("seed != oid").select("oid").distinct()
-    return commits.select("oid").distinct().join(r, "oid", "left_anti")
+    """(oid): the commits that no other of them reaches, which are those that no parent of one of them reaches."""
+    above = edges.join(commits.select(F.col("oid").alias("child")), "child").select(F.col("parent").alias("oid")).distinct()
+    return commits.select("oid").distinct().join(reachable(edges, above).select("oid"), "oid", "left_anti")
+
+
+def ancestor_counts(edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """(oid, n): how many commits each of them reaches, itself among them.
+
+    A commit with one parent reaches one more than its parent, so each is led up its run
+    of single parents, by leaps that double each round, to a root or a merge; only these
+    are followed by a closure.
+    """
+    single = edges.groupBy("child").agg(F.min("parent").alias("parent"), F.countDistinct("parent").alias("k")).where("k = 1").select(F.col("child").alias("oid"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps"))
+    leap = written(single, "runs")
+    while True:
+        on = leap.select(F.col("oid").alias("to"), F.col("to").alias("on"), F.col("steps").alias("more"))
+        if leap.join(on, "to", "left_semi").isEmpty():
+            break
+        leap = written(leap.join(on, "to", "left").select("oid", F.coalesce("on", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "runs")
+    ends = written(commits.select("oid").distinct().join(leap, "oid", "left").select("oid", F.coalesce("to", "oid").alias("to"), F.coalesce("steps", F.lit(0)).alias("steps")), "ends")
+    heads = ends.select(F.col("to").alias("oid")).distinct()
+    own = closure(edges, seeded(heads)).groupBy(F.col("seed").alias("to")).agg(F.count("*").alias("own"))
+    return ends.join(own, "to").select("oid", (F.col("own") + F.col("steps")).alias("n"))
 
 
 def described(edges: DataFrame, commits: DataFrame, tags: DataFrame, targets: DataFrame) -> DataFrame:
@@ -103,10 +147,11 @@ def described(edges: DataFrame, commits: DataFrame, tags: DataFrame, targets: Da
     Annotated tags only, as by default. Ties go to the newer commit, then to the name.
     """
     t = tags.where("annotated").groupBy("oid").agg(F.min_by("name", F.struct(-F.col("tagger_ts"), F.col("name"))).alias("tag"))
-    up = written(closure(edges, targets.select(F.col("oid").alias("seed"), "oid")), "up")
-    size = up.groupBy("seed").agg(F.count("*").alias("all"))
-    found = up.join(t, "oid").select("seed", "oid", "tag")
-    own = closure(edges, found.select("oid").distinct().select(F.col("oid").alias("seed"), "oid")).groupBy(F.col("seed").alias("oid")).agg(F.count("*").alias("own"))
+    # of the target's ancestors only the tagged ones matter
+    found = written(closure(edges, targets.select(F.col("oid").alias("seed"), "oid")).join(t, "oid").select("seed", "oid", "tag"), "tagged")
+    own = written(ancestor_counts(edges, found.select("oid").unionByName(targets.select("oid"))), "counts")
+    size = own.select(F.col("oid").alias("seed"), F.col("n").alias("all"))
+    own = own.select("oid", F.col("n").alias("own"))
     # all that a tag reaches is reached by the target too, so the difference counts the rest
     d = found.join(own, "oid").join(size, "seed").join(commits.select("oid", "ts"), "oid").withColumn("distance", F.col("all") - F.col("own"))
     best = d.groupBy("seed").agg(F.min_by(F.struct("tag", "distance"), F.struct("distance", -F.col("ts"), "tag")).alias("b"))
@@ -160,7 +205,7 @@ def bisect_weights(edges: DataFrame, good: DataFrame, bad: DataFrame) -> DataFra
     """(oid, weight, n): the candidates that bad reaches and good doesn't, how many candidates each reaches, and how many there are."""
     c = written(rev_list(edges, bad, good), "candidates")
     inner = edges.join(c.select(F.col("oid").alias("child")), "child").join(c.select(F.col("oid").alias("parent")), "parent")
-    w = closure(inner, seeded(c)).groupBy(F.col("seed").alias("oid")).agg(F.count("*").alias("weight"))
+    w = ancestor_counts(inner, c).withColumnRenamed("n", "weight")
     return w.crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))  # one row
 
 

@@ -27,7 +27,7 @@ def _graph(spark, sf):
     return c, L.edges(c)
 
 
-def _tips(c, test: str):
+def _tips(c, test: str = "true"):
     return L.branches(c).join(c.select("oid", "author"), "oid").where(test).select("oid")
 
 
@@ -37,52 +37,52 @@ def commits(spark, sf):
 
 def walk(spark, sf):
     c, e = _graph(spark, sf)
-    return G.reachable(e, _tips(c, "author % 10 = 3")).select("oid", F.col("depth").cast("int").alias("depth"))
+    return G.reachable(e, _tips(c)).select("oid", F.col("depth").cast("int").alias("depth"))
 
 
-WALK = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid, 0 AS depth FROM tips WHERE author % 10 = 3 UNION SELECT e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.oid)
+WALK = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid, 0 AS depth FROM tips UNION SELECT e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.oid)
 SELECT oid, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY oid"""
 
 
 def walk_until(spark, sf):
     c, e = _graph(spark, sf)
-    return G.reachable(e, _tips(c, "author % 10 = 3"), stop=c.where("oid % 7 = 0").select("oid")).select("oid")
+    return G.reachable(e, _tips(c), stop=c.where("oid % 7 = 0").select("oid")).select("oid")
 
 
-UNTIL = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE author % 10 = 3 AND oid % 7 <> 0 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.parent % 7 <> 0) SELECT oid FROM r"""
+UNTIL = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE oid % 7 <> 0 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.parent % 7 <> 0) SELECT oid FROM r"""
 
 
 def walk_first_parent(spark, sf):
     c, e = _graph(spark, sf)
-    return G.first_parents(e, _tips(c, "author % 10 = 3")).select("oid")
+    return G.first_parents(e, _tips(c)).select("oid")
 
 
-FIRST = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE author % 10 = 3 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid AND idx = 0) SELECT oid FROM r"""
+FIRST = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid AND idx = 0) SELECT oid FROM r"""
 
 
 def walk_shallow(spark, sf):
     c, e = _graph(spark, sf)
-    return G.reachable(G.grafted(e, c.where("oid % 5 = 0").select("oid")), _tips(c, "author % 10 = 3")).select("oid")
+    return G.reachable(G.grafted(e, c.where("oid % 5 = 0").select("oid")), _tips(c)).select("oid")
 
 
-SHALLOW = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE author % 10 = 3 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.child % 5 <> 0) SELECT oid FROM r"""
+SHALLOW = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.child % 5 <> 0) SELECT oid FROM r"""
 
 
 def log(spark, sf):
     c, e = _graph(spark, sf)
-    return G.log(c, e, _tips(c, "author % 4 = 1"), excluding=c.where("oid % 50 = 0").select("oid"), before=870_000_000_000_000, parents=(1, 2), limit=200)
+    return G.log(c, e, _tips(c), excluding=c.where("oid % 50 = 0").select("oid"), before=870_000_000_000_000, parents=(1, 2), limit=200)
 
 
-LOG = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE author % 4 = 1 AND oid % 50 <> 0 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.parent % 50 <> 0)
+LOG = f"""WITH RECURSIVE {LENS}, r AS (SELECT oid FROM tips WHERE oid % 50 <> 0 UNION SELECT e.parent FROM r JOIN e ON e.child = r.oid WHERE e.parent % 50 <> 0)
 SELECT oid, author, ts, subject FROM c JOIN r USING (oid) WHERE ts < 870000000000000 AND (parent0 IS NOT NULL OR parent1 IS NOT NULL) ORDER BY ts DESC, oid LIMIT 200"""
 
 
 def rev_list(spark, sf):
     c, e = _graph(spark, sf)
-    return G.rev_list(e, _tips(c, "author % 5 = 2"), _tips(c, "author % 5 = 1"))
+    return G.rev_list(e, _tips(c, "author % 2 = 0"), _tips(c, "author % 2 = 1"))
 
 
-_W, _X = (_reach(n, f"SELECT 0 AS seed, oid FROM tips WHERE author % 5 = {k}") for n, k in (("w", 2), ("x", 1)))
+_W, _X = (_reach(n, f"SELECT 0 AS seed, oid FROM tips WHERE author % 2 = {k}") for n, k in (("w", 0), ("x", 1)))
 REV_LIST = f"WITH RECURSIVE {LENS}, {_W}, {_X} SELECT oid FROM w WHERE oid NOT IN (SELECT oid FROM x)"
 
 
@@ -94,9 +94,9 @@ BOUNDARY = f"WITH RECURSIVE {LENS}, {_W}, {_X}, s AS (SELECT oid FROM w WHERE oi
 
 
 def _pairs(c):
-    t = L.branches(c).join(c.select("oid", "author"), "oid").where("author % 10 in (3, 4)")
-    a = t.where("author % 10 = 3").select((F.col("author") / 10).cast("long").alias("pair"), F.col("oid").alias("a"))
-    return a.join(t.where("author % 10 = 4").select((F.col("author") / 10).cast("long").alias("pair"), F.col("oid").alias("b")), "pair")
+    """The tips of neighbouring authors, a pair each."""
+    t = L.branches(c).join(c.select("oid", "author"), "oid")
+    return t.select(F.col("author").alias("pair"), F.col("oid").alias("a")).join(t.select((F.col("author") - 1).alias("pair"), F.col("oid").alias("b")), "pair")
 
 
 def merge_base_all(spark, sf):
@@ -109,30 +109,42 @@ def merge_base(spark, sf):
     return G.merge_base(e, _pairs(c))
 
 
-_BASES = f"""WITH RECURSIVE {LENS}, p AS (SELECT a.author // 10 AS pair, a.oid AS a, b.oid AS b FROM tips a JOIN tips b ON a.author // 10 = b.author // 10 AND a.author % 10 = 3 AND b.author % 10 = 4),
+_BASES = f"""WITH RECURSIVE {LENS}, p AS (SELECT a.author AS pair, a.oid AS a, b.oid AS b FROM tips a JOIN tips b ON a.author = b.author - 1),
 {_reach("ra", "SELECT pair AS seed, a AS oid FROM p")}, {_reach("rb", "SELECT pair AS seed, b AS oid FROM p")},
 common AS (SELECT seed AS pair, oid FROM ra INTERSECT SELECT seed, oid FROM rb),
 best AS (SELECT pair, oid FROM common WHERE (pair, oid) NOT IN (SELECT pair, e.parent FROM common JOIN e ON e.child = oid))"""
 
 
+def octopus(spark, sf):
+    """The tips of three neighbouring authors, a group each."""
+    c, e = _graph(spark, sf)
+    t = L.branches(c).join(c.select("oid", "author"), "oid")
+    return G.octopus_merge_bases(e, t.select(F.floor(F.col("author") / 3).cast("long").alias("grp"), "oid"))
+
+
+OCTOPUS = f"""WITH RECURSIVE {LENS}, g AS (SELECT author // 3 AS grp, oid FROM tips), {_reach("r", "SELECT {'grp': grp, 'tip': oid} AS seed, oid FROM g")},
+n AS (SELECT seed.grp AS grp, oid, count(*) AS n FROM r GROUP BY ALL), common AS (SELECT grp, oid FROM n JOIN (SELECT grp, count(*) AS k FROM g GROUP BY grp) USING (grp) WHERE n = k)
+SELECT grp, oid FROM common WHERE (grp, oid) NOT IN (SELECT grp, e.parent FROM common JOIN e ON e.child = oid)"""
+
+
 def independent(spark, sf):
     c, e = _graph(spark, sf)
-    return G.independent(e, c.where("oid % 6 = 1").select("oid"))
+    return G.independent(e, c.select("oid"))
 
 
-INDEPENDENT = f"""WITH RECURSIVE {LENS}, s AS (SELECT oid FROM c WHERE oid % 6 = 1), {_reach("r", "SELECT oid AS seed, oid FROM s")} SELECT oid FROM s WHERE oid NOT IN (SELECT oid FROM r WHERE seed <> oid)"""
+INDEPENDENT = f"""WITH RECURSIVE {LENS}, s AS (SELECT oid FROM c), {_reach("r", "SELECT oid AS seed, oid FROM s")} SELECT oid FROM s WHERE oid NOT IN (SELECT oid FROM r WHERE seed <> oid)"""
 
 
 def describe(spark, sf):
     c, e = _graph(spark, sf)
-    return G.described(e, c, L.tags(c), _tips(c, "author % 3 = 0"))
+    return G.described(e, c, L.tags(c), _tips(c))
 
 
-DESCRIBE = f"""WITH RECURSIVE {LENS}, {_reach("u", "SELECT oid AS seed, oid FROM tips WHERE author % 3 = 0")}, {_reach("g", "SELECT oid AS seed, oid FROM c WHERE oid % 20 = 0")},
+DESCRIBE = f"""WITH RECURSIVE {LENS}, {_reach("u", "SELECT oid AS seed, oid FROM tips")}, {_reach("g", "SELECT oid AS seed, oid FROM c WHERE oid % 20 = 0")},
 total AS (SELECT seed, count(*) AS n FROM u GROUP BY seed), own AS (SELECT seed AS oid, count(*) AS n FROM g GROUP BY seed),
 d AS (SELECT u.seed, u.oid, total.n - own.n AS distance, c.ts FROM u JOIN own USING (oid) JOIN total USING (seed) JOIN c USING (oid)),
 b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY seed ORDER BY distance, ts DESC) = 1)
-SELECT t.oid AS target, 'refs/tags/v' || CAST(b.oid AS VARCHAR) AS tag, distance, coalesce(distance = 0, FALSE) AS exact FROM tips t LEFT JOIN b ON b.seed = t.oid WHERE author % 3 = 0"""
+SELECT t.oid AS target, 'refs/tags/v' || CAST(b.oid AS VARCHAR) AS tag, distance, coalesce(distance = 0, FALSE) AS exact FROM tips t LEFT JOIN b ON b.seed = t.oid"""
 
 
 def name_rev(spark, sf):
@@ -178,5 +190,5 @@ u AS (SELECT oid FROM objects WHERE oid NOT IN (SELECT oid FROM r))
 SELECT 'missing' AS kind, oid FROM r WHERE oid NOT IN (SELECT oid FROM objects) UNION ALL SELECT 'unreachable', oid FROM u UNION ALL SELECT 'dangling', oid FROM u WHERE oid NOT IN (SELECT parent FROM e)
 UNION ALL SELECT DISTINCT 'broken-link', child FROM e WHERE child IN (SELECT oid FROM objects) AND parent NOT IN (SELECT oid FROM objects)"""
 
-QUERIES = {"commits": commits, "walk_commits": walk, "walk_until": walk_until, "walk_first_parent": walk_first_parent, "walk_shallow": walk_shallow, "log": log, "rev_list": rev_list, "bundle_boundary": bundle_boundary, "merge_base_all": merge_base_all, "merge_base": merge_base, "independent": independent, "describe": describe, "name_rev": name_rev, "bisect": bisect, "fsck": fsck}
-ORACLES = {"commits": f"WITH {LENS} SELECT oid, parent0, parent1, author, ts, subject FROM c", "walk_commits": WALK, "walk_until": UNTIL, "walk_first_parent": FIRST, "walk_shallow": SHALLOW, "log": LOG, "rev_list": REV_LIST, "bundle_boundary": BOUNDARY, "merge_base_all": f"{_BASES} SELECT pair, oid FROM best", "merge_base": f"{_BASES} SELECT pair, min(oid) AS oid FROM best GROUP BY pair", "independent": INDEPENDENT, "describe": DESCRIBE, "bisect": BISECT, "fsck": FSCK}
+QUERIES = {"commits": commits, "walk_commits": walk, "walk_until": walk_until, "walk_first_parent": walk_first_parent, "walk_shallow": walk_shallow, "log": log, "rev_list": rev_list, "bundle_boundary": bundle_boundary, "merge_base_all": merge_base_all, "merge_base": merge_base, "independent": independent, "octopus_merge_bases": octopus, "describe": describe, "name_rev": name_rev, "bisect": bisect, "fsck": fsck}
+ORACLES = {"commits": f"WITH {LENS} SELECT oid, parent0, parent1, author, ts, subject FROM c", "walk_commits": WALK, "walk_until": UNTIL, "walk_first_parent": FIRST, "walk_shallow": SHALLOW, "log": LOG, "rev_list": REV_LIST, "bundle_boundary": BOUNDARY, "merge_base_all": f"{_BASES} SELECT pair, oid FROM best", "merge_base": f"{_BASES} SELECT pair, min(oid) AS oid FROM best GROUP BY pair", "independent": INDEPENDENT, "octopus_merge_bases": OCTOPUS, "describe": DESCRIBE, "bisect": BISECT, "fsck": FSCK}

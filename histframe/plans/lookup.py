@@ -23,11 +23,11 @@ def has_object(spark, sf):
 
 
 def oid_prefix(spark, sf):
-    asked = _oids(spark, sf).where("k % 3 = 0").select(F.expr("substring(oid, 1, 4 + cast(k % 2 as int))").alias("prefix")).distinct()
+    asked = _oids(spark, sf).select(F.expr("substring(oid, 1, 4 + cast(k % 2 as int))").alias("prefix")).distinct()
     return K.by_prefix(asked, _oids(spark, sf))
 
 
-PREFIX = f"""WITH {OIDS}, a AS (SELECT DISTINCT substr(oid, 1, 4 + k % 2) AS prefix FROM o WHERE k % 3 = 0), h AS (SELECT prefix, count(*) AS n, min(oid) AS oid FROM a JOIN o ON starts_with(oid, prefix) GROUP BY prefix)
+PREFIX = f"""WITH {OIDS}, a AS (SELECT DISTINCT substr(oid, 1, 4 + k % 2) AS prefix FROM o), h AS (SELECT prefix, count(*) AS n, min(oid) AS oid FROM a JOIN o ON starts_with(oid, prefix) GROUP BY prefix)
 SELECT prefix, CASE WHEN n = 1 THEN oid END AS oid, n > 1 AS ambiguous FROM h"""
 
 
