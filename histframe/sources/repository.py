@@ -93,7 +93,7 @@ def linked_worktrees(spark: SparkSession, git_dir: str) -> DataFrame:
     from histframe.operators.reading import worktrees
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(git_dir)
-    text = files.select(F.regexp_extract("path", r"/(HEAD|worktrees/[^/]+/(?:HEAD|gitdir))$", 1).alias("f"), F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", "")).alias("t")).where("f != ''")
+    text = files.where(~F.col("path").rlike("/logs/")).select(F.regexp_extract("path", r"/(HEAD|worktrees/[^/]+/(?:HEAD|gitdir))$", 1).alias("f"), F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", "")).alias("t")).where(F.col("f") != "")
     ref = F.regexp_replace("t", "^ref: ", "")
     main = text.where("f = 'HEAD'").select(F.lit(git_dir.rstrip("/").removesuffix("/.git")).alias("path"), ref.alias("ref"), F.lit(True).alias("is_main"))
     own = F.regexp_extract("f", r"^worktrees/([^/]+)/", 1)
