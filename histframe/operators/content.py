@@ -171,7 +171,7 @@ def inexact_renames(deleted: DataFrame, added: DataFrame, least: int = RENAME_SC
     scores = similarity(blobs, written(rename_pairs(deleted, added, held, least), "pairs"), held).where(F.col("score") >= least)
     named = scores.join(deleted.select(F.col("path").alias("src_path"), F.col("oid").alias("src")), "src").join(added.select(F.col("path").alias("dst_path"), F.col("oid").alias("dst")), "dst")
     best = named.select("src_path", "dst_path", "score").groupBy("dst_path").applyInPandas(_slots, "src_path string, dst_path string, score long, slot long")
-    return best.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy, "src_path string, dst_path string, score long")
+    return _best_first(best)
 
 
 def _slots(rows: pd.DataFrame) -> pd.DataFrame:
@@ -187,13 +187,21 @@ def _slots(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(r.src_path, r.dst_path, r.score, k) for k, r in enumerate(slots)], columns=["src_path", "dst_path", "score", "slot"])
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    gone, taken, out = set(), set(), []
-    for r in rows.sort_values(["score", "dst_path", "slot"], ascending=[False, True, True]).itertuples(index=False):
-        if r.src_path not in gone and r.dst_path not in taken:
-            gone.add(r.src_path), taken.add(r.dst_path)
-            out.append(r)
-    return pd.DataFrame([(r.src_path, r.dst_path, r.score) for r in out], columns=["src_path", "dst_path", "score"])
+def _best_first(pairs: DataFrame) -> DataFrame:
+    """(src_path, dst_path, score): what is taken when pairs go by score, destination and slot and each path is used once.
+
+    A pair that comes first for both of its paths is taken in any case; these go in one
+    round, with all that they rule out, until no pair is left.
+    """
+    left = written(pairs.withColumn("_key", F.struct((-F.col("score")).alias("s"), "dst_path", "slot")), "pairs")
+    taken = None
+    while not left.isEmpty():
+        first = lambda c: left.groupBy(c).agg(F.min("_key").alias("_key"))  # noqa: B023, E731
+        now = left.join(first("src_path"), ["src_path", "_key"]).join(first("dst_path").select(F.col("dst_path").alias("_d"), F.col("_key").alias("_k")), (F.col("dst_path") == F.col("_d")) & (F.col("_key") == F.col("_k"))).select("src_path", "dst_path", "score")
+        now = written(now, "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        left = written(left.join(now.select("src_path"), "src_path", "left_anti").join(now.select("dst_path"), "dst_path", "left_anti"), "pairs")
+    return pairs.select("src_path", "dst_path", "score").limit(0) if taken is None else taken
 
 
 # --- histories of one file ------------------------------------------------------------------------------------

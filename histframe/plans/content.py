@@ -44,10 +44,6 @@ def _whitespace(b):
 
 
 def whitespace(spark, sf):
-    return _whitespace(L.blobs(spark, sf).where("doc_id % 2 = 0"))
-
-
-def whitespace_all(spark, sf):
     return _whitespace(L.blobs(spark, sf))
 
 
@@ -89,14 +85,11 @@ def _similarity(b):
 
 
 def similarity(spark, sf):
-    return _similarity(L.blobs(spark, sf).where("doc_id % 10 = 0 and size < 20000"))
-
-
-def similarity_all(spark, sf):
     return _similarity(L.blobs(spark, sf))
 
 
-SIMILARITY = """WITH b AS (SELECT DISTINCT sha1(encode('blob ' || CAST(strlen(text) AS VARCHAR)) || '\\x00'::BLOB || encode(text)) AS oid, strlen(text) AS size FROM documents WHERE doc_id % 10 = 0 AND strlen(text) < 20000)
+OID = "sha1(encode('blob ' || CAST(strlen(coalesce(text, '')) AS VARCHAR)) || '\\x00'::BLOB || encode(coalesce(text, '')))"
+SIMILARITY = f"""WITH b AS (SELECT DISTINCT {OID} AS oid, strlen(coalesce(text, '')) AS size FROM documents)
 SELECT oid AS src, oid || '~' AS dst, CAST(size * 60000 // (size + 5) AS BIGINT) AS score FROM b"""
 
 
@@ -122,9 +115,6 @@ def notes(spark, sf):
     return L.blobs(spark, sf).select("doc_id", "oid").join(n, "doc_id").select("oid", "doc_id", "quality", "toxic")
 
 
-OID = "sha1(encode('blob ' || CAST(strlen(coalesce(text, '')) AS VARCHAR)) || '\\x00'::BLOB || encode(coalesce(text, '')))"
-
-
 def _cat_file(spark, sf, asked):
     """Asked-for ids in their order, each with its object or as missing."""
     b = L.blobs(spark, sf)
@@ -135,23 +125,19 @@ def _cat_file(spark, sf, asked):
 
 
 def cat_file(spark, sf):
-    return _cat_file(spark, sf, L.table(spark, sf, "documents").where("doc_id < 300"))
-
-
-def cat_file_all(spark, sf):
     return _cat_file(spark, sf, L.table(spark, sf, "documents"))
 
 
-CAT = f"SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 0 THEN repeat('f', 40) ELSE {OID} END AS oid, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS size FROM documents WHERE doc_id < 300"
+CAT = f"SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 0 THEN repeat('f', 40) ELSE {OID} END AS oid, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(coalesce(text, '')) AS BIGINT) END AS size FROM documents"
 
 
 def enumerate_objects(spark, sf):
     return L.blobs(spark, sf).select("oid").distinct()
 
 
-QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "whitespace_only_all": whitespace_all, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "similarity_all": similarity_all, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "cat_file_batch_all": cat_file_all, "enumerate_objects": enumerate_objects}
+QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
-    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents WHERE doc_id % 2 = 0", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "similarity": SIMILARITY,
+    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "similarity": SIMILARITY,
     "notes_list": f"SELECT {OID} AS oid, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)", "cat_file_batch": CAT, "enumerate_objects": f"SELECT DISTINCT {OID} AS oid FROM documents",
 }

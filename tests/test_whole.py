@@ -61,22 +61,22 @@ def pieces(text):
     return held
 
 
-def test_similarity_all_scores_every_text(spark, small):
+def test_similarity_scores_every_text(spark, small):
     want = {}
     for r in L.blobs(spark, small).collect():
         a, b = pieces(r.content), pieces("line\n" + r.content)
         want[r.oid, r.oid + "~"] = sum(min(n, b.get(c, 0)) for c, n in a.items()) * 60_000 // (r.size + 5)
-    got = content.similarity_all(spark, small).collect()
+    got = content.similarity(spark, small).collect()
     assert {(r.src, r.dst): r.score for r in got} == want and len(got) == len(want)
 
 
 def test_whitespace_and_cat_file_take_every_document(spark, small):
     rows = L.blobs(spark, small).collect()
-    assert sorted(map(tuple, content.whitespace_all(spark, small).collect())) == sorted((r.doc_id, r.doc_id % 4 == 0) for r in rows)
+    assert sorted(map(tuple, content.whitespace(spark, small).collect())) == sorted((r.doc_id, r.doc_id % 4 == 0) for r in rows)
     want = sorted((r.doc_id, "f" * 40 if r.doc_id % 7 == 0 else r.oid, r.doc_id % 7 != 0, r.size if r.doc_id % 7 else None) for r in rows)
-    assert sorted(map(tuple, content.cat_file_all(spark, small).collect())) == want
+    assert sorted(map(tuple, content.cat_file(spark, small).collect())) == want
     larger = small.replace("sf0.001", "sf0.01")  # more than 300 ids
-    assert content.cat_file_all(spark, larger).count() == L.table(spark, larger, "documents").count() > 300
+    assert content.cat_file(spark, larger).count() == L.table(spark, larger, "documents").count() > 300
 
 
 def slow_renames(gone, new, least=30_000):
