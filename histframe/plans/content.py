@@ -67,6 +67,15 @@ def patches(spark, sf):
     return C.patches(p).select("file", "version", F.length("patch").cast("long").alias("size"), "patch_id")
 
 
+#: Each version adds a line, after up to three lines of context.
+PATCHES = r"""WITH l AS (SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS version, role || ': ' || replace(coalesce(text, ''), chr(10), ' ') AS line FROM conversations),
+c AS (SELECT *, least(version, 3) AS n, coalesce(string_agg(' ' || line || chr(10), '') OVER (PARTITION BY file ORDER BY version ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before FROM l),
+p AS (SELECT *, 'c' || CAST(file AS VARCHAR) AS path, before || '+' || line || chr(10) AS body FROM c),
+h AS (SELECT *, 'diff --git a/' || path || ' b/' || path || chr(10) || '--- ' || CASE WHEN version = 0 THEN '/dev/null' ELSE 'a/' || path END || chr(10) || '+++ b/' || path || chr(10) AS head,
+             '@@ -' || CASE WHEN version = 0 THEN '0,0' ELSE CAST(version - n + 1 AS VARCHAR) || CASE WHEN n = 1 THEN '' ELSE ',' || CAST(n AS VARCHAR) END END || ' +' || CAST(version - n + 1 AS VARCHAR) || CASE WHEN n = 0 THEN '' ELSE ',' || CAST(n + 1 AS VARCHAR) END || ' @@' || chr(10) AS hunk FROM p)
+SELECT file, version, CAST(length(head || hunk || body) AS BIGINT) AS size, sha1(regexp_replace(head || body, '\s', '', 'g')) AS patch_id FROM h"""
+
+
 def merged(spark, sf):
     v = L.versions(spark, sf).groupBy("file").agg(F.max_by("content", "version").alias("base"), F.max("version").alias("last"))
     t = v.select("file", "base", F.concat(F.lit("top\n"), "base").alias("ours"), F.concat("base", F.when(F.col("file") % 2 == 0, "end\n").otherwise("")).alias("theirs"))
@@ -138,6 +147,6 @@ def enumerate_objects(spark, sf):
 QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
-    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "similarity": SIMILARITY,
+    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "similarity": SIMILARITY,
     "notes_list": f"SELECT {OID} AS oid, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)", "cat_file_batch": CAT, "enumerate_objects": f"SELECT DISTINCT {OID} AS oid FROM documents",
 }

@@ -154,6 +154,14 @@ def name_rev(spark, sf):
     return G.named(e, tags.unionByName(heads))
 
 
+NAME_REV = f"""WITH RECURSIVE {LENS}, n AS (SELECT oid, 0 AS other, coalesce(CASE WHEN oid % 20 = 0 THEN ts + 1 END, 4611686018427387904) AS tagger, 'tags/v' || CAST(oid AS VARCHAR) AS ref FROM c WHERE oid % 10 = 0
+      UNION ALL SELECT oid, 1, 4611686018427387904, 'c' || CAST(author AS VARCHAR) FROM tips),
+r AS (SELECT oid, other, CAST(0 AS BIGINT) AS distance, tagger, ref, '' AS path, CAST(0 AS BIGINT) AS tail FROM n
+      UNION ALL SELECT e.parent, other, distance + CASE WHEN idx = 0 THEN 1 ELSE {G.MERGE_HOP} END, tagger, ref, path || CASE WHEN idx = 0 THEN '' ELSE CASE WHEN tail > 0 THEN '~' || CAST(tail AS VARCHAR) ELSE '' END || '^' || CAST(idx + 1 AS VARCHAR) END, CASE WHEN idx = 0 THEN tail + 1 ELSE 0 END
+      FROM r JOIN e ON e.child = r.oid)
+SELECT oid, ref || path || CASE WHEN tail > 0 THEN '~' || CAST(tail AS VARCHAR) ELSE '' END AS name, distance FROM r QUALIFY row_number() OVER (PARTITION BY oid ORDER BY other, distance, tagger, ref, path, tail) = 1"""
+
+
 def bisect(spark, sf):
     c, e = _graph(spark, sf)
     tip = c.where("parent1 is not null").orderBy(F.desc("ts")).limit(1).select("oid")
@@ -191,4 +199,4 @@ SELECT 'missing' AS kind, oid FROM r WHERE oid NOT IN (SELECT oid FROM objects)
 UNION ALL SELECT DISTINCT 'broken-link', child FROM e WHERE child IN (SELECT oid FROM objects) AND parent NOT IN (SELECT oid FROM objects)"""
 
 QUERIES = {"commits": commits, "walk_commits": walk, "walk_until": walk_until, "walk_first_parent": walk_first_parent, "walk_shallow": walk_shallow, "log": log, "rev_list": rev_list, "bundle_boundary": bundle_boundary, "merge_base_all": merge_base_all, "merge_base": merge_base, "independent": independent, "octopus_merge_bases": octopus, "describe": describe, "name_rev": name_rev, "bisect": bisect, "fsck": fsck}
-ORACLES = {"commits": f"WITH {LENS} SELECT oid, parent0, parent1, author, ts, subject FROM c", "walk_commits": WALK, "walk_until": UNTIL, "walk_first_parent": FIRST, "walk_shallow": SHALLOW, "log": LOG, "rev_list": REV_LIST, "bundle_boundary": BOUNDARY, "merge_base_all": f"{_BASES} SELECT pair, oid FROM best", "merge_base": f"{_BASES} SELECT pair, min(oid) AS oid FROM best GROUP BY pair", "independent": INDEPENDENT, "octopus_merge_bases": OCTOPUS, "describe": DESCRIBE, "bisect": BISECT, "fsck": FSCK}
+ORACLES = {"commits": f"WITH {LENS} SELECT oid, parent0, parent1, author, ts, subject FROM c", "walk_commits": WALK, "walk_until": UNTIL, "walk_first_parent": FIRST, "walk_shallow": SHALLOW, "log": LOG, "rev_list": REV_LIST, "bundle_boundary": BOUNDARY, "merge_base_all": f"{_BASES} SELECT pair, oid FROM best", "merge_base": f"{_BASES} SELECT pair, min(oid) AS oid FROM best GROUP BY pair", "independent": INDEPENDENT, "octopus_merge_bases": OCTOPUS, "describe": DESCRIBE, "name_rev": NAME_REV, "bisect": BISECT, "fsck": FSCK}
