@@ -168,10 +168,14 @@ def inexact_renames(deleted: DataFrame, added: DataFrame, least: int = RENAME_SC
         return deleted.sparkSession.createDataFrame([], "src_path string, dst_path string, score long")
     blobs = deleted.unionByName(added)
     held = written(chunks(blobs), "chunks")
+    return _best_first(_scored_slots(deleted, added, blobs, held, least).withColumn("copy", F.lit(0))).select("src_path", "dst_path", "score")
+
+
+def _scored_slots(deleted: DataFrame, added: DataFrame, blobs: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """(src_path, dst_path, score, slot): the pairs that reach the score, up to four a destination."""
     scores = similarity(blobs, written(rename_pairs(deleted, added, held, least), "pairs"), held).where(F.col("score") >= least)
     named = scores.join(deleted.select(F.col("path").alias("src_path"), F.col("oid").alias("src")), "src").join(added.select(F.col("path").alias("dst_path"), F.col("oid").alias("dst")), "dst")
-    best = named.select("src_path", "dst_path", "score").groupBy("dst_path").applyInPandas(_slots, "src_path string, dst_path string, score long, slot long")
-    return _best_first(best)
+    return named.select("src_path", "dst_path", "score").groupBy("dst_path").applyInPandas(_slots, "src_path string, dst_path string, score long, slot long")
 
 
 def _slots(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,20 +192,96 @@ def _slots(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _best_first(pairs: DataFrame) -> DataFrame:
-    """(src_path, dst_path, score): what is taken when pairs go by score, destination and slot and each path is used once.
+    """(src_path, dst_path, score, copy): what is taken when pairs go by score, renames first, destination and slot.
 
-    A pair that comes first for both of its paths is taken in any case; these go in one
-    round, with all that they rule out, until no pair is left.
+    Each destination is used once, and each source by one rename; copies leave their
+    source free. A pair that comes first for all that it uses is taken in any case;
+    these go in one round, with all that they rule out, until no pair is left.
     """
-    left = written(pairs.withColumn("_key", F.struct((-F.col("score")).alias("s"), "dst_path", "slot")), "pairs")
+    left = written(pairs.withColumn("_key", F.struct((-F.col("score")).alias("s"), "copy", "dst_path", "slot")), "pairs")
     taken = None
     while not left.isEmpty():
-        first = lambda c: left.groupBy(c).agg(F.min("_key").alias("_key"))  # noqa: B023, E731
-        now = left.join(first("src_path"), ["src_path", "_key"]).join(first("dst_path").select(F.col("dst_path").alias("_d"), F.col("_key").alias("_k")), (F.col("dst_path") == F.col("_d")) & (F.col("_key") == F.col("_k"))).select("src_path", "dst_path", "score")
-        now = written(now, "taken")
+        firsts = left.groupBy("dst_path").agg(F.min("_key").alias("_key"))
+        sources = left.where("copy = 0").groupBy(F.col("src_path").alias("_s")).agg(F.min("_key").alias("_k"))
+        now = left.join(firsts, ["dst_path", "_key"]).join(sources, F.col("src_path") == F.col("_s"), "left").where((F.col("copy") == 1) | (F.col("_key") == F.col("_k")))
+        now = written(now.select("src_path", "dst_path", "score", "copy"), "taken")
         taken = now if taken is None else taken.unionByName(now)
-        left = written(left.join(now.select("src_path"), "src_path", "left_anti").join(now.select("dst_path"), "dst_path", "left_anti"), "pairs")
-    return pairs.select("src_path", "dst_path", "score").limit(0) if taken is None else taken
+        used = now.where("copy = 0").select("src_path", F.lit(0).alias("copy"))
+        left = written(left.join(now.select("dst_path"), "dst_path", "left_anti").join(used, ["src_path", "copy"], "left_anti"), "pairs")
+    return pairs.select("src_path", "dst_path", "score", "copy").limit(0) if taken is None else taken
+
+
+BREAK_SCORE, MERGE_SCORE = 30_000, 36_000
+
+
+def rewrites(modified: DataFrame, blobs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(path, break_score, dissimilarity) of modified (path, old_oid, new_oid): the bytes that went and came, at most the larger size, and the bytes that went, in 60,000ths of the larger and of the old size."""
+    c = chunks(blobs) if held is None else held
+    size = blobs.select("oid", "size").dropDuplicates(["oid"])
+    sized = modified.select("path", "old_oid", "new_oid").join(size.select(F.col("oid").alias("old_oid"), F.col("size").alias("s")), "old_oid").join(size.select(F.col("oid").alias("new_oid"), F.col("size").alias("d")), "new_oid")
+    left = c.select(F.col("oid").alias("old_oid"), "chunk", F.col("bytes").alias("x"))
+    right = c.select(F.col("oid").alias("new_oid"), "chunk", F.col("bytes").alias("y"))
+    shared = sized.select("old_oid", "new_oid").distinct().join(left, "old_oid").join(right, ["new_oid", "chunk"]).groupBy("old_oid", "new_oid").agg(F.sum(F.least("x", "y")).alias("common"))
+    j = sized.join(shared, ["old_oid", "new_oid"], "left")
+    common, most = F.coalesce("common", F.lit(0)), F.greatest("s", "d")
+    gone = F.least(F.col("s") + F.col("d") - 2 * common, most)
+    part = lambda x, of: F.when(of == 0, 0).otherwise(F.floor(x * MOST_SCORE / of)).cast("long")
+    return j.select("path", part(gone, most).alias("break_score"), part(F.col("s") - common, F.col("s")).alias("dissimilarity"))
+
+
+def renames(diff: DataFrame, blobs: DataFrame, least: int = RENAME_SCORE, copies: str = "off", copy_least: int | None = None, breaks: tuple[int, int] | None = None, preimage: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """(path, kind, old_path, old_oid, new_oid, score) of a diff (path, kind, old_oid, new_oid): its adds as renames and copies where contents are alike.
+
+    breaks (break score, merge score; a merge score of 0 is the usual one) first takes
+    rewritten files apart into a delete and an add; what finds no partner becomes a
+    modify again, with its dissimilarity as score from the merge score on. Then equal
+    ids, as in ``snapshot.exact_renames``; then alike ones. copies "on" also looks at
+    the old versions of changed files, "harder" at all of `preimage` (path, oid). With
+    more than limit x limit pairs of adds and sources none are looked for, or with
+    "harder" only those of "on"; limit 0 takes any number.
+    """
+    from .snapshot import exact_renames
+
+    held = written(chunks(blobs), "chunks")
+    size = blobs.select("oid", "size", "content").dropDuplicates(["oid"])
+    work, broken = diff.select("path", "kind", "old_oid", "new_oid"), None
+    if breaks is not None:
+        scored = rewrites(work.where("kind = 'modify'"), blobs, held).where(F.col("break_score") >= (breaks[0] or BREAK_SCORE))
+        broken = written(work.where("kind = 'modify'").join(scored.select("path", "dissimilarity"), "path"), "broken")
+        halves = broken.select("path", F.lit("delete").alias("kind"), "old_oid", F.lit(None).cast("string").alias("new_oid")).unionByName(broken.select("path", F.lit("add").alias("kind"), F.lit(None).cast("string").alias("old_oid"), "new_oid"))
+        work = work.join(broken.select("path", "kind"), ["path", "kind"], "left_anti").unionByName(halves)
+    exact = written(exact_renames(work), "exact")
+    adds = exact.where("kind = 'add'").select("path", F.col("new_oid").alias("oid")).join(size, "oid")
+    gone = exact.where("kind = 'delete'").select("path", F.col("old_oid").alias("oid")).join(size, "oid")
+    changed = gone.unionByName(exact.where("kind in ('modify', 'type-change')").select("path", F.col("old_oid").alias("oid")).join(size, "oid"))
+    whole = None if preimage is None else preimage.select("path", "oid").join(size, "oid")
+    sources = {"off": None, "on": changed, "harder": whole}[copies]
+    few = lambda n: not limit or adds.count() * n <= limit * limit
+    if copies == "harder" and not few(sources.count()):
+        sources = changed
+    pairs = []
+    if few(gone.count() if sources is None else sources.count()):
+        pairs.append(_scored_slots(gone, adds, blobs, held, least).withColumn("copy", F.lit(0)))
+        if sources is not None:
+            pairs.append(_scored_slots(sources, adds, blobs, held, copy_least or least).withColumn("copy", F.lit(1)))
+    out = exact.withColumn("score", F.when(F.col("kind") == "rename", MOST_SCORE).cast("long"))
+    if pairs:
+        taken = written(_best_first(pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])), "matched")
+        kind = F.when(F.col("copy") == 1, "copy").otherwise("rename")
+        old = diff.where("old_oid is not null").select(F.col("path").alias("src_path"), "old_oid")
+        if preimage is not None:
+            old = old.unionByName(preimage.select(F.col("path").alias("src_path"), F.col("oid").alias("old_oid"))).dropDuplicates(["src_path"])
+        found = taken.join(old, "src_path").join(adds.select(F.col("path").alias("dst_path"), F.col("oid").alias("new_oid")), "dst_path")
+        found = found.select(F.col("dst_path").alias("path"), kind.alias("kind"), F.col("src_path").alias("old_path"), "old_oid", "new_oid", "score")
+        used = taken.where("copy = 0").select(F.col("src_path").alias("path"), F.lit("delete").alias("kind")).unionByName(taken.select(F.col("dst_path").alias("path"), F.lit("add").alias("kind")))
+        out = out.join(used, ["path", "kind"], "left_anti").select(*out.columns).unionByName(found.select(*out.columns))
+    if broken is None:
+        return out
+    out = written(out, "renamed")
+    halves = out.where("kind in ('delete', 'add')").join(broken.select("path"), "path", "left_semi").groupBy("path").agg(F.count("*").alias("n")).where("n = 2").select("path")
+    back = broken.join(halves, "path").select("path", F.lit("modify").alias("kind"), F.lit(None).cast("string").alias("old_path"), "old_oid", "new_oid", F.when(F.col("dissimilarity") >= (breaks[1] or MERGE_SCORE), F.col("dissimilarity")).alias("score"))
+    kept = out.join(halves.withColumn("_b", F.lit(True)), "path", "left").where("not (kind in ('delete', 'add') and coalesce(_b, false))")
+    return kept.select(*out.columns).unionByName(back.select(*out.columns))
 
 
 # --- histories of one file ------------------------------------------------------------------------------------

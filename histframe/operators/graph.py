@@ -18,7 +18,7 @@ from histframe.scratch import written
 
 DAY = 86_400
 #: Levels that one job of a closure goes down.
-STEPS = 4
+STEPS = 8
 
 
 def closure(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None, first_parent: bool = False, levels: int | None = None) -> DataFrame:

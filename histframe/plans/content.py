@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histframe.functions.scalar import is_binary, split_lines
 from histframe.operators import content as C
+from histframe.scratch import written
 from histframe.sources import lenses as L
 
 LINES = "l AS (SELECT path, i AS n, line FROM (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS k FROM documents WHERE text <> '') WHERE NOT (i = k AND line = ''))"
@@ -109,6 +110,23 @@ def renames(spark, sf):
     return C.inexact_renames(gone, new, limit=0)
 
 
+def renames_full(spark, sf):
+    """Documents by fifths moved and edited, edited, copied and edited, rewritten, and left; with copies and rewrites looked for."""
+    b = L.blobs(spark, sf).withColumn("k", F.col("doc_id") % 5)
+    edited = F.concat("content", F.lit("\nadded!\n"))
+    turned = F.concat(F.reverse("content"), F.lit("!"))
+    version = lambda rows, path, text: rows.select(path.alias("path"), F.sha1(text).alias("oid"), F.octet_length(text).cast("long").alias("size"), text.alias("content"))
+    path, same = F.col("path"), F.col("content")
+    old = version(b, path, same)
+    new = version(b.where("k = 0"), F.concat(F.lit("moved/"), path), edited).unionByName(version(b.where("k in (1, 2)"), path, edited)).unionByName(version(b.where("k = 2"), F.concat(F.lit("copy/"), path), F.concat("content", F.lit("\nother\n"))))
+    new = written(new.unionByName(version(b.where("k = 3"), path, turned)).unionByName(version(b.where("k = 4"), path, same)), "new")
+    side = lambda t, n: t.select("path", F.col("oid").alias(n))
+    j = side(old, "old_oid").join(side(new, "new_oid"), "path", "full")
+    kind = F.when(F.col("old_oid").isNull(), "add").when(F.col("new_oid").isNull(), "delete").when(F.col("old_oid") != F.col("new_oid"), "modify")
+    diff = written(j.select("path", kind.alias("kind"), "old_oid", "new_oid").where("kind is not null"), "diff")
+    return C.renames(diff, old.unionByName(new).select("oid", "size", "content"), copies="on", breaks=(0, 0), limit=0)
+
+
 def range_diff(spark, sf):
     """A conversation is a series."""
     p = C.patches(C.steps(L.versions(spark, sf)).withColumn("path", F.lit("f")))
@@ -144,7 +162,7 @@ def enumerate_objects(spark, sf):
     return L.blobs(spark, sf).select("oid").distinct()
 
 
-QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
+QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "renames_full": renames_full, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
     "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "similarity": SIMILARITY,

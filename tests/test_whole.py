@@ -122,3 +122,103 @@ def test_inexact_renames_query_takes_every_text(spark, small):
     rows = L.blobs(spark, small).dropDuplicates(["oid"]).collect()
     want = slow_renames([(r.path, r.content) for r in rows], [("new/" + r.path, r.content + "\nadded!\n") for r in rows])
     assert sorted(map(tuple, content.renames(spark, small).collect())) == want and len(want) > 150
+
+
+def slow_full(diff, texts, copies, breaks, preimage=(), least=30_000):
+    """Renames, copies and rewrites pair by pair."""
+    size = {o: len(t.encode()) for o, t in texts.items()}
+    parts = {o: pieces(t) for o, t in texts.items()}
+    common = lambda a, b: sum(min(n, parts[b].get(c, 0)) for c, n in parts[a].items())
+    work, broken = [], {}
+    for path, kind, old, new in diff:
+        most = max(size[old], size[new]) if kind == "modify" else 0
+        shared = common(old, new) if kind == "modify" else 0
+        if breaks and kind == "modify" and most and min(size[old] + size[new] - 2 * shared, most) * 60_000 // most >= breaks[0]:
+            broken[path] = (old, new, (size[old] - shared) * 60_000 // size[old] if size[old] else 0)
+            work += [(path, "delete", old, None), (path, "add", None, new)]
+        else:
+            work.append((path, kind, old, new))
+    by_id = {}
+    for path, kind, old, _ in work:
+        if kind == "delete":
+            by_id.setdefault(old, []).append(path)
+    out, gone, adds = [], set(), []
+    for path, kind, old, new in work:
+        if kind == "add" and len(by_id.get(new, [])) == 1:
+            gone.add(by_id[new][0])
+            out.append((path, "rename", by_id[new][0], new, new, 60_000))
+        elif kind == "add":
+            adds.append((path, new))
+    deletes = [(p, o) for p, k, o, _ in work if k == "delete" and p not in gone]
+    others = [(p, o) for p, k, o, _ in work if k == "modify"]
+    sources = {"off": [], "on": deletes + others, "harder": list(preimage)}[copies]
+    order = []
+    for d, new in adds:
+        for copy, from_ in ((0, deletes), (1, sources)):
+            slots = []
+            for s, old in sorted(from_):
+                most = max(size[old], size[new])
+                score = common(old, new) * 60_000 // most if most else 0
+                if score < least:
+                    continue
+                if len(slots) < 4:
+                    slots.append((score, s, old))
+                elif score > min(slots, key=lambda x: x[0])[0]:
+                    slots[[x[0] for x in slots].index(min(slots, key=lambda x: x[0])[0])] = (score, s, old)
+            order += [(-score, copy, d, i, s, old, new) for i, (score, s, old) in enumerate(slots)]
+    used, done = set(), set()
+    for score, copy, d, _, s, old, new in sorted(order):
+        if d in done or not copy and s in used:
+            continue
+        done.add(d)
+        used |= set() if copy else {s}
+        out.append((d, "copy" if copy else "rename", s, old, new, -score))
+    left = [(p, "delete", None, o, None, None) for p, o in deletes if p not in used] + [(p, "add", None, None, n, None) for p, n in adds if p not in done]
+    for path, (old, new, dissimilarity) in broken.items():
+        halves = [x for x in left if x[0] == path]
+        if len(halves) == 2:
+            left = [x for x in left if x not in halves]
+            out.append((path, "modify", None, old, new, dissimilarity if dissimilarity >= breaks[1] else None))
+    return sorted(out + left + [(p, k, None, o, n, None) for p, k, o, n in work if k == "modify"], key=str)
+
+
+def test_renames_copies_and_rewrites_equal_brute_force(spark):
+    rng = random.Random(13)
+    line = lambda: f"line {rng.randrange(60)} {'y' * rng.randrange(50)}\n"
+    texts, diff, before = {}, [], []
+
+    def put(text):
+        oid = hashlib.sha1(text.encode()).hexdigest()
+        texts[oid] = text
+        return oid
+
+    for i in range(60):
+        base = [line() for _ in range(rng.randint(1, 14))]
+        near = "".join(x for x in base if rng.random() < 0.75) + line()
+        other = "".join(line() for _ in range(rng.randint(1, 12)))
+        p, old = f"p{i:02}", put("".join(base))
+        before.append((p, old))
+        kind = i % 5
+        if kind == 0:
+            diff += [(p, "delete", old, None), (f"m{rng.random()}", "add", None, put(near))]
+        elif kind == 1:
+            diff += [(p, "modify", old, put(near + "z")), (f"c{rng.random()}", "add", None, put(near))]
+        elif kind == 2:
+            diff += [(p, "modify", old, put(other)), (f"c{rng.random()}", "add", None, put(near))]
+        elif kind == 3:
+            diff += [(p, "delete", old, None), (f"e{rng.random()}", "add", None, old)]
+        else:
+            diff.append((f"h{rng.random()}", "add", None, put(near)))
+    diff = [x for x in diff if x[2] != x[3] or x[2] is None]
+    frame = spark.createDataFrame(diff, "path string, kind string, old_oid string, new_oid string")
+    blobs = spark.createDataFrame([(o, len(t.encode()), t) for o, t in texts.items()], "oid string, size long, content string")
+    tree = spark.createDataFrame(before, "path string, oid string")
+    kinds = set()
+    for copies, breaks in (("off", None), ("on", None), ("harder", None), ("on", (30_000, 36_000)), ("off", (1, 1))):
+        got = C.renames(frame, blobs, copies=copies, breaks=breaks, preimage=tree if copies == "harder" else None, limit=0).select("path", "kind", "old_path", "old_oid", "new_oid", "score").collect()
+        want = slow_full(diff, texts, copies, breaks, before)
+        assert sorted(map(tuple, got), key=str) == want, (copies, breaks)
+        kinds |= {r.kind for r in got} | {"broken" for r in got if r.kind == "modify" and r.score}
+    assert kinds == {"rename", "copy", "modify", "add", "delete", "broken"}
+    none = C.renames(frame, blobs, limit=2).where("score < 60000").count()
+    assert none == 0
