@@ -94,12 +94,12 @@ def attribute(path: Column, name: str, sources: list[tuple[str, str]]) -> Column
     for _, text in reversed(sources):
         macros |= parse_attributes(text)[1]
 
-    def flat(given: Assigned, depth: int = 0) -> Assigned:
+    def flat(given: Assigned, inside: frozenset[str] = frozenset()) -> Assigned:
         out: Assigned = []
         for n, v in given:
             out.append((n, v))
-            if v is True and n in macros and depth < 8:
-                out += flat(macros[n], depth + 1)
+            if v is True and n in macros and n not in inside:  # a macro that holds itself adds nothing
+                out += flat(macros[n], inside | {n})
         return out
 
     found = []

@@ -54,6 +54,34 @@ class Repository:
         field = lambda n: F.regexp_extract("t", rf"(?m)^{n} (.*)$", 1)
         return text.select("oid", field("object").alias("object"), field("type").alias("type"), field("tag").alias("name"))
 
+    def read(self, oid: str) -> tuple[str, bytes]:
+        """An object's type and content; LookupError without one."""
+        found = self.objects.where(F.col("oid") == oid).limit(1).collect()
+        if not found:
+            raise LookupError(f"no object {oid}")
+        return found[0].type, bytes(found[0].content)
+
+    def snapshot(self, kind: str, rev: str | None = None, root: str | None = None) -> DataFrame:
+        """(path, oid, mode) of a state: "tree" of a commit or of HEAD, "index" (with stage), "workdir" under a folder, or the "stash" entry of a commit, whose tree it is."""
+        if kind == "index":
+            return self.index.select("path", "stage", "oid", "mode")
+        if kind == "workdir":
+            return workdir(self.spark, root or self.git_dir.removesuffix("/.git")).select("path", "oid", "mode")
+        if kind not in ("tree", "stash"):
+            raise ValueError(f"no snapshot of {kind!r}")
+        if rev is None:
+            return self.head_tree().select("path", "oid", "mode")
+        commit = self.commits.where(F.col("oid") == rev).limit(1).collect()
+        if not commit:
+            raise LookupError(f"no commit {rev}")
+        return store.flat_tree(self.trees, commit[0].tree).select("path", "oid", "mode")
+
+    def status(self, root: str | None = None) -> DataFrame:
+        """The working copy's status by contents."""
+        from histframe.operators.snapshot import status
+
+        return status(self.snapshot("tree"), self.snapshot("index"), self.snapshot("workdir", root=root))
+
     def head_tree(self) -> DataFrame:
         """(path, mode, oid) of the tree that HEAD's commit has."""
         refs = self.refs

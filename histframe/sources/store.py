@@ -71,6 +71,22 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bytes that a decompressor gets at once.
+_FED = 1 << 16
+
+
+def _inflated(raw: bytes, at: int) -> tuple[bytes, int]:
+    """What is compressed from a place on, and where that ends; only its own bytes are touched."""
+    z, out = zlib.decompressobj(), []
+    while not z.eof:
+        part = raw[at : at + _FED]
+        if not part:
+            raise ValueError("the pack ends inside an object")
+        out.append(z.decompress(part))
+        at += len(part)
+    return b"".join(out), at - len(z.unused_data)
+
+
 def pack_objects(raw: bytes) -> Iterator[tuple[str, str, bytes]]:
     """(oid, type, content) of each object of a pack; deltas against objects of other packs raise KeyError."""
     mark, version, count = struct.unpack(">4sII", raw[:12])
@@ -102,9 +118,7 @@ def pack_objects(raw: bytes) -> Iterator[tuple[str, str, bytes]]:
         elif kind == 7:
             base = raw[at : at + 20].hex()
             at += 20
-        z = zlib.decompressobj()
-        content = z.decompress(memoryview(raw)[at:])
-        at = len(raw) - len(z.unused_data)
+        content, at = _inflated(raw, at)
         if base is None:
             done[start] = (KINDS[kind], content)
             by_oid[_oid(*done[start])] = start
@@ -181,7 +195,7 @@ def tree_entries(objects: DataFrame) -> DataFrame:
 
 
 def flat_tree(entries: DataFrame, root: str, most_levels: int = 2048) -> DataFrame:
-    """(path, mode, oid) of the leaves under a tree, a join per level."""
+    """(path, mode, oid) of the leaves under a tree, a join per level; ValueError where the tree is deeper."""
     level = entries.where(F.col("tree_oid") == root).select(F.col("name").alias("path"), "mode", "oid")
     leaves = None
     for _ in range(most_levels):
@@ -191,6 +205,8 @@ def flat_tree(entries: DataFrame, root: str, most_levels: int = 2048) -> DataFra
         if down.isEmpty():
             break
         level = down.select("path", F.col("oid").alias("tree_oid")).join(entries, "tree_oid").select(F.concat_ws("/", "path", "name").alias("path"), "mode", "oid")
+    else:
+        raise ValueError(f"the tree has more than {most_levels} levels")
     return leaves
 
 
@@ -216,8 +232,12 @@ def reflogs(spark: SparkSession, git_dir: str) -> DataFrame:
     return rows.select("ref", F.col("seq").cast("long").alias("seq"), g(1).alias("old_oid"), g(2).alias("new_oid"), g(3).alias("name"), g(4).alias("email"), g(5).cast("long").alias("ts"), g(6).alias("tz"), g(7).alias("message"))
 
 
+_ENTRY = "path string, stage int, mode string, oid string, size long, mtime long, mtime_ns long, ctime long, ctime_ns long, dev long, ino long, uid long, gid long, assume_valid boolean, skip_worktree boolean, intent_to_add boolean"
+_ENTRY_TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 9, *[pa.bool_()] * 3]
+
+
 def index_entries(raw: bytes) -> list[tuple]:
-    """(path, stage, mode, oid, size, mtime) of an index file of version 2 or 3; its trailing hash is checked."""
+    """The entries of an index file of version 2 or 3, as in ``index``; its trailing hash is checked."""
     mark, version, count = struct.unpack(">4sII", raw[:12])
     if mark != b"DIRC" or version not in (2, 3):
         raise ValueError("not an index of version 2 or 3")
@@ -225,27 +245,28 @@ def index_entries(raw: bytes) -> list[tuple]:
         raise ValueError("the index's hash is wrong")
     out, at = [], 12
     for _ in range(count):
-        mtime, mode, size = *struct.unpack(">8xI", raw[at : at + 12]), *struct.unpack(">I8xI", raw[at + 24 : at + 40])
+        ctime, ctime_ns, mtime, mtime_ns, dev, ino, mode, uid, gid, size = struct.unpack(">10I", raw[at : at + 40])
         oid, flags = raw[at + 40 : at + 60].hex(), struct.unpack(">H", raw[at + 60 : at + 62])[0]
+        more = struct.unpack(">H", raw[at + 62 : at + 64])[0] if flags & 0x4000 else 0
         name_at = at + 62 + 2 * bool(flags & 0x4000)
         end = raw.index(b"\0", name_at)
-        out.append((raw[name_at:end].decode("utf-8", "replace"), flags >> 12 & 3, f"{mode:o}", oid, size, mtime))
+        out.append((raw[name_at:end].decode("utf-8", "replace"), flags >> 12 & 3, f"{mode:o}", oid, size, mtime, mtime_ns, ctime, ctime_ns, dev, ino, uid, gid, bool(flags & 0x8000), bool(more & 0x4000), bool(more & 0x2000)))
         at += (end - at + 8) // 8 * 8
     return out
 
 
 def index(spark: SparkSession, git_dir: str) -> DataFrame:
-    """(path, stage, mode, oid, size, mtime) of a repository's index; no rows where there is none."""
+    """(path, stage, mode, oid, size, times, device, number, owner and flags) of a repository's index; no rows where there is none."""
+    names = [c.strip().split(" ")[0] for c in _ENTRY.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 rows = index_entries(raw)
-                types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", "stage", "mode", "oid", "size", "mtime"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ENTRY_TYPES)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "index").load(git_dir)
-    return files.select("content").mapInArrow(run, "path string, stage int, mode string, oid string, size long, mtime long")
+    return files.select("content").mapInArrow(run, _ENTRY)
 
 
 def parse_config(text: str) -> list[tuple[str, str, str | None]]:

@@ -143,6 +143,20 @@ def test_repository_tables(spark, repo):
     assert [(x.name, x.type, x.object) for x in r.tags().collect()] == [("v1", "commit", git("rev-parse", "main").strip())]
     assert r.objects.count() == r.pack_entries.select("oid").distinct().count()
     assert r.index.count() == 3 and r.reflogs.count() > 5
+    stat = {x.path: x for x in r.index.collect()}
+    real = (at / "side.txt").stat()
+    assert (stat["side.txt"].ino, stat["side.txt"].size, stat["side.txt"].mtime, stat["side.txt"].uid) == (real.st_ino & 0xFFFFFFFF, real.st_size, int(real.st_mtime), real.st_uid)
+    assert not stat["side.txt"].assume_valid and not stat["side.txt"].skip_worktree
+    assert {x.path for x in r.snapshot("tree", git("rev-parse", "side").strip()).collect()} == {"d/f0.txt", "d/f1.txt", "side.txt"}
+    assert r.read(git("rev-parse", "main:side.txt").strip()) == ("blob", b"s\n")
+    for call in (lambda: r.read("0" * 40), lambda: r.snapshot("tree", "0" * 40)):
+        with pytest.raises(LookupError):
+            call()
+    (at / "new.txt").write_text("n")
+    assert {(x.path, x.untracked) for x in r.status().collect()} == {("new.txt", True), ("x.bundle", True)}
+    (at / "new.txt").unlink()
+    git("update-index", "--assume-unchanged", "d/f0.txt")
+    assert [x.path for x in store.index(spark, f"{at}/.git").where("assume_valid").collect()] == ["d/f0.txt"]
     trees = repository.linked_worktrees(spark, f"{at}/.git").collect()
     assert [(x.path, x.ref, x.is_main) for x in trees] == [(str(at), "refs/heads/main", True), (str(at.parent / "linked"), "refs/heads/wt", False)]
     work = {x.path: x.oid for x in repository.workdir(spark, str(at)).collect()}
