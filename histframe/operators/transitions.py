@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import is_ignored
+from .rules import pruned
 from .snapshot import merge_trees, outer_join, would_overwrite
 
 EMPTY_TREE = hashlib.sha1(b"tree 0\0").hexdigest()
@@ -38,7 +38,8 @@ def add(state: State, where: Column, ignore: list[tuple[str, str, str]] | None =
     chosen = state.workdir.where(where)
     tracked = state.index.select("path").distinct()
     if ignore:
-        chosen = chosen.where(~is_ignored(F.col("path"), ignore)).unionByName(chosen.where(is_ignored(F.col("path"), ignore)).join(tracked, "path", "left_semi"))
+        # what lies in an ignored directory is ignored
+        chosen = chosen.where(~pruned(F.col("path"), ignore)).unionByName(chosen.where(pruned(F.col("path"), ignore)).join(tracked, "path", "left_semi"))
     gone = state.index.where(where).select("path").distinct().join(state.workdir.select("path"), "path", "left_anti")
     return replace(state, index=_replaced(state.index.join(gone, "path", "left_anti"), chosen))
 
