@@ -23,8 +23,16 @@ def _slots(sources: dict[str, DataFrame]) -> list[DataFrame]:
 
 
 def outer_join(**sources: DataFrame) -> DataFrame:
-    """(path, occ, a struct for each source): full outer, the n-th row of a path with the n-th row of the others."""
-    return reduce(lambda a, b: a.join(b, ["path", "occ"], "full_outer"), _slots(sources))
+    """(path, occ, a struct for each source): full outer, the n-th row of a path with the n-th row of the others.
+
+    Two sources are joined. More are put under each other and gathered by path, which
+    shuffles every row once, where a chain of outer joins would shuffle its results again.
+    """
+    slots = _slots(sources)
+    if len(slots) < 3:
+        return reduce(lambda a, b: a.join(b, ["path", "occ"], "full_outer"), slots)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), slots)
+    return rows.groupBy("path", "occ").agg(*(F.max(name).alias(name) for name in sources))
 
 
 def inner_join(**sources: DataFrame) -> DataFrame:
@@ -63,17 +71,27 @@ def status(head: DataFrame, index: DataFrame, workdir: DataFrame) -> DataFrame:
     """(path, staged, unstaged, untracked, unmerged): one record for each path that isn't clean.
 
     staged: head to index, `mode-changed` where only the mode differs. unstaged: index
-    to working copy. A path with conflict stages is only unmerged.
+    to working copy. A path with conflict stages is only unmerged. All rows of a path
+    are gathered at once, so that each is shuffled once.
     """
-    unmerged = unmerged_entries(index).select("path", "kind")
-    zero = index.where("stage = 0").drop("stage").join(unmerged, "path", "left_anti")
-    j = outer_join(head=head, index=zero, workdir=workdir).join(unmerged.withColumnRenamed("kind", "unmerged"), "path", "full_outer")
-    clear = F.col("unmerged").isNull()
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, source: str, stage: Column) -> DataFrame:
+        columns = [c for s in ("head", "index", "workdir") for c in ((F.col("oid") if s == source else none).alias(f"{s}_oid"), (F.col("mode") if s == source else none).alias(f"{s}_mode"))]
+        return df.select("path", stage.alias("stages"), *columns)
+
+    no = F.lit(0)
+    # the bits of stages 1 to 3; the rows of stage 0 have the index's columns
+    open_ = index.where("stage > 0").select("path", F.when(F.col("stage") == 1, 1).when(F.col("stage") == 2, 2).otherwise(4).alias("stages"), *(none.alias(f"{s}_{c}") for s in ("head", "index", "workdir") for c in ("oid", "mode")))
+    every = rows(head, "head", no).unionByName(rows(index.where("stage = 0"), "index", no)).unionByName(rows(workdir, "workdir", no)).unionByName(open_)
+    one = every.groupBy("path").agg(F.bit_or("stages").alias("stages"), *(F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in ("head", "index", "workdir") for c in ("oid", "mode")))
+    j = one.select("path", "stages", *(F.when(F.col(f"{s}_oid").isNotNull(), F.struct(F.col(f"{s}_oid").alias("oid"), F.col(f"{s}_mode").alias("mode"))).alias(s) for s in ("head", "index", "workdir")))
+    clear, bit = F.col("stages") == 0, lambda n: F.col("stages").bitwiseAND(n) != 0
     only_mode = lambda a, b: (F.col(f"{a}.oid") == F.col(f"{b}.oid")) & (F.col(f"{a}.mode") != F.col(f"{b}.mode"))
     kind = lambda a, b: F.when(only_mode(a, b) & (mode_kind(F.col(f"{a}.mode")) == mode_kind(F.col(f"{b}.mode"))), "mode-changed").otherwise(change_kind(a, b))
     out = j.select(
         "path", F.when(clear, kind("head", "index")).alias("staged"), F.when(clear & F.col("index").isNotNull(), kind("index", "workdir")).alias("unstaged"),
-        (clear & F.col("index").isNull() & F.col("workdir").isNotNull()).alias("untracked"), "unmerged",
+        (clear & F.col("index").isNull() & F.col("workdir").isNotNull()).alias("untracked"), F.when(~clear, unmerged_kind(bit(1), bit(2), bit(4))).alias("unmerged"),
     )
     return out.where("staged is not null or unstaged is not null or untracked or unmerged is not null")
 
