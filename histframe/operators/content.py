@@ -99,6 +99,12 @@ def patches(pairs: DataFrame) -> DataFrame:
     return _per_pair(pairs, call, {"patch": "string", "patch_id": "string"}, ("path", "old", "new"))
 
 
+def rendered(changes: DataFrame, context: int = linediff.CONTEXT) -> DataFrame:
+    """changes (path, kind, old_path, old_oid, new_oid, old_mode, new_mode, old, new, score) with the patch text of each, extended headers and all."""
+    inputs = ("kind", "path", "old_path", "old_oid", "new_oid", "old_mode", "new_mode", "old", "new", "score")
+    return _per_pair(changes, lambda *x: (linediff.rendered(*x, context=context),), {"patch": "string"}, inputs)
+
+
 def merge(triples: DataFrame, favour: str | None = None) -> DataFrame:
     """triples (base, ours, theirs) with the merged text and the number of conflicts."""
     return _per_pair(triples, lambda b, o, t: linediff.merge(b or "", o or "", t or "", favour=favour), {"merged": "string", "conflicts": "long"}, ("base", "ours", "theirs"))

@@ -77,6 +77,38 @@ h AS (SELECT *, 'diff --git a/' || path || ' b/' || path || chr(10) || '--- ' ||
 SELECT file, version, CAST(length(head || hunk || body) AS BIGINT) AS size, sha1(regexp_replace(head || body, '\s', '', 'g')) AS patch_id FROM h"""
 
 
+KINDS = ["add", "delete", "modify", "rename", "copy", "type-change", "modify", "modify", "rename"]
+
+
+def patch_headers(spark, sf):
+    """Parts as changes of every kind: the seventh is a change of mode, the eighth a rewrite, the ninth a rename of an equal file."""
+    p, k = L.table(spark, sf, "part"), F.col("p_partkey") % len(KINDS)
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (k + 1).cast("int"))
+    old, new = F.concat("p_name", F.lit("\n")), F.concat("p_type", F.lit("\n"))
+    path = F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string"))
+    changes = p.select(
+        path.alias("path"), pick(*KINDS).alias("kind"), F.when(k.isin(3, 4, 8), F.concat(F.lit("old/"), path)).alias("old_path"), F.when(k != 0, F.sha1(old)).alias("old_oid"), F.when(k == 1, None).when(k.isin(6, 8), F.sha1(old)).otherwise(F.sha1(new)).alias("new_oid"),
+        F.when(k != 0, "100644").alias("old_mode"), F.when(k == 1, None).when(k == 5, "120000").when(k.isin(4, 6), "100755").otherwise("100644").alias("new_mode"),
+        F.when(k != 0, old).alias("old"), F.when(k == 1, None).when(k.isin(6, 8), old).when(k == 5, F.col("p_type")).otherwise(new).alias("new"), F.when(k.isin(3, 4), 45_000).when(k == 7, 50_000).when(k == 8, 60_000).alias("score"),
+    )
+    return C.rendered(changes).select("path", F.sha1("patch").alias("patch_sha1"), F.length("patch").cast("long").alias("size"))
+
+
+HEADERS = """WITH p AS (SELECT p_partkey % 9 AS k, p_brand || '/' || CAST(p_partkey AS VARCHAR) AS p, chr(10) AS n, p_name AS o, p_type AS t, substr(sha1(p_name || chr(10)), 1, 7) AS a, substr(sha1(p_type || chr(10)), 1, 7) AS b FROM part),
+h AS (SELECT p, CASE k
+ WHEN 0 THEN 'diff --git a/' || p || ' b/' || p || n || 'new file mode 100644' || n || 'index 0000000..' || b || n || '--- /dev/null' || n || '+++ b/' || p || n || '@@ -0,0 +1 @@' || n || '+' || t || n
+ WHEN 1 THEN 'diff --git a/' || p || ' b/' || p || n || 'deleted file mode 100644' || n || 'index ' || a || '..0000000' || n || '--- a/' || p || n || '+++ /dev/null' || n || '@@ -1 +0,0 @@' || n || '-' || o || n
+ WHEN 2 THEN 'diff --git a/' || p || ' b/' || p || n || 'index ' || a || '..' || b || ' 100644' || n || '--- a/' || p || n || '+++ b/' || p || n || '@@ -1 +1 @@' || n || '-' || o || n || '+' || t || n
+ WHEN 3 THEN 'diff --git a/old/' || p || ' b/' || p || n || 'similarity index 75%' || n || 'rename from old/' || p || n || 'rename to ' || p || n || 'index ' || a || '..' || b || ' 100644' || n || '--- a/old/' || p || n || '+++ b/' || p || n || '@@ -1 +1 @@' || n || '-' || o || n || '+' || t || n
+ WHEN 4 THEN 'diff --git a/old/' || p || ' b/' || p || n || 'old mode 100644' || n || 'new mode 100755' || n || 'similarity index 75%' || n || 'copy from old/' || p || n || 'copy to ' || p || n || 'index ' || a || '..' || b || n || '--- a/old/' || p || n || '+++ b/' || p || n || '@@ -1 +1 @@' || n || '-' || o || n || '+' || t || n
+ WHEN 5 THEN 'diff --git a/' || p || ' b/' || p || n || 'deleted file mode 100644' || n || 'index ' || a || '..0000000' || n || '--- a/' || p || n || '+++ /dev/null' || n || '@@ -1 +0,0 @@' || n || '-' || o || n
+        || 'diff --git a/' || p || ' b/' || p || n || 'new file mode 120000' || n || 'index 0000000..' || b || n || '--- /dev/null' || n || '+++ b/' || p || n || '@@ -0,0 +1 @@' || n || '+' || t || n || chr(92) || ' No newline at end of file' || n
+ WHEN 6 THEN 'diff --git a/' || p || ' b/' || p || n || 'old mode 100644' || n || 'new mode 100755' || n || 'index ' || a || '..' || a || n
+ WHEN 7 THEN 'diff --git a/' || p || ' b/' || p || n || 'dissimilarity index 83%' || n || 'index ' || a || '..' || b || ' 100644' || n || '--- a/' || p || n || '+++ b/' || p || n || '@@ -1 +1 @@' || n || '-' || o || n || '+' || t || n
+ ELSE 'diff --git a/old/' || p || ' b/' || p || n || 'similarity index 100%' || n || 'rename from old/' || p || n || 'rename to ' || p || n END AS x FROM p)
+SELECT p AS path, sha1(x) AS patch_sha1, CAST(length(x) AS BIGINT) AS size FROM h"""
+
+
 def merged(spark, sf):
     v = L.versions(spark, sf).groupBy("file").agg(F.max_by("content", "version").alias("base"), F.max("version").alias("last"))
     t = v.select("file", "base", F.concat(F.lit("top\n"), "base").alias("ours"), F.concat("base", F.when(F.col("file") % 2 == 0, "end\n").otherwise("")).alias("theirs"))
@@ -162,9 +194,9 @@ def enumerate_objects(spark, sf):
     return L.blobs(spark, sf).select("oid").distinct()
 
 
-QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "renames_full": renames_full, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
+QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "patch_headers": patch_headers, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "renames_full": renames_full, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
-    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "similarity": SIMILARITY,
+    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "patch_headers": HEADERS, "similarity": SIMILARITY,
     "notes_list": f"SELECT {OID} AS oid, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)", "cat_file_batch": CAT, "enumerate_objects": f"SELECT DISTINCT {OID} AS oid FROM documents",
 }
