@@ -81,11 +81,11 @@ def _per_pair(pairs: DataFrame, call, columns: dict[str, str], inputs: tuple[str
     return pairs.mapInArrow(run, _schema(pairs, **columns))
 
 
-def numstat(pairs: DataFrame) -> DataFrame:
-    """pairs (old, new) with added and deleted lines; null counts for binary sides."""
+def numstat(pairs: DataFrame, mode: str = "exact") -> DataFrame:
+    """pairs (old, new) with added and deleted lines, as a whitespace mode sees them; null counts for binary sides."""
     binary = is_binary(F.coalesce("old", F.lit(""))) | is_binary(F.coalesce("new", F.lit("")))
     marked = pairs.withColumn("binary", binary)
-    counted = _per_pair(marked, lambda o, n, b: (None, None) if b else linediff.counts(o, n), {"added": "long", "deleted": "long"}, ("old", "new", "binary"))
+    counted = _per_pair(marked, lambda o, n, b: (None, None) if b else linediff.counts(o, n, mode), {"added": "long", "deleted": "long"}, ("old", "new", "binary"))
     return counted
 
 

@@ -53,6 +53,15 @@ def numstat(spark, sf):
     return C.numstat(s).select("file", "version", "added", "deleted")
 
 
+def numstat_blanks(spark, sf):
+    """Each document against itself with its blanks doubled, counted with and without blanks."""
+    b = L.blobs(spark, sf).select("doc_id", F.col("content").alias("old"), F.regexp_replace("content", " ", "  ").alias("new"))
+    exact = C.numstat(b).select("doc_id", F.col("added").alias("exact"))
+    return C.numstat(b, "change").select("doc_id", F.col("added").alias("change")).join(exact, "doc_id")
+
+
+NUMSTAT_BLANKS = f"WITH {LINES}, d AS (SELECT doc_id, lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents) SELECT doc_id, CAST(0 AS BIGINT) AS change, CAST(coalesce(n, 0) AS BIGINT) AS exact FROM d LEFT JOIN (SELECT path, count(*) AS n FROM l WHERE contains(line, ' ') GROUP BY path) USING (path)"
+
 NUMSTAT = "SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS version, CAST(1 AS BIGINT) AS added, CAST(0 AS BIGINT) AS deleted FROM conversations"
 
 
@@ -194,9 +203,9 @@ def enumerate_objects(spark, sf):
     return L.blobs(spark, sf).select("oid").distinct()
 
 
-QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "blame": blame, "patch_text": patches, "patch_headers": patch_headers, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "renames_full": renames_full, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
+QUERIES = {"grep": grep, "grep_inverted": grep_inverted, "split_lines": split, "binary_flags": binary_flags, "whitespace_only": whitespace, "numstat": numstat, "numstat_blanks": numstat_blanks, "blame": blame, "patch_text": patches, "patch_headers": patch_headers, "merge_content": merged, "similarity": similarity, "inexact_renames": renames, "renames_full": renames_full, "range_diff": range_diff, "notes_list": notes, "cat_file_batch": cat_file, "enumerate_objects": enumerate_objects}
 ORACLES = {
     "grep": GREP, "grep_inverted": INVERTED, "split_lines": f"WITH {LINES} SELECT path, count(*) AS n, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY path", "binary_flags": "SELECT doc_id, doc_id % 5 = 0 AND strlen(coalesce(text, '')) < 8000 AS is_binary FROM documents",
-    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "patch_headers": HEADERS, "similarity": SIMILARITY,
+    "whitespace_only": "SELECT doc_id, doc_id % 4 = 0 AS ws_only FROM documents", "numstat": NUMSTAT, "numstat_blanks": NUMSTAT_BLANKS, "blame": BLAME, "merge_content": MERGED, "patch_text": PATCHES, "patch_headers": HEADERS, "similarity": SIMILARITY,
     "notes_list": f"SELECT {OID} AS oid, doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)", "cat_file_batch": CAT, "enumerate_objects": f"SELECT DISTINCT {OID} AS oid FROM documents",
 }
