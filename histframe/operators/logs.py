@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import carried, numbered
+
 
 def shown(log: DataFrame) -> DataFrame:
-    """The log with n, counted from the newest entry, and its selector."""
-    w = Window.partitionBy("ref").orderBy(F.desc("seq"))
-    return log.withColumn("n", (F.row_number().over(w) - 1).cast("long")).withColumn("selector", F.concat(F.col("ref").cast("string"), F.lit("@{"), F.col("n").cast("string"), F.lit("}")))
+    """The log with n, counted from the newest entry, and its selector; a ref's log may fill many range partitions."""
+    placed = numbered(log, "ref", "seq", name="_place")
+    last = placed.groupBy("ref").agg(F.max("_place").alias("_last"))
+    n = F.col("_last") - F.col("_place")
+    return placed.join(last, "ref").withColumn("n", n).withColumn("selector", F.concat(F.col("ref").cast("string"), F.lit("@{"), F.col("n").cast("string"), F.lit("}"))).select(*log.columns, "n", "selector")
 
 
 def at_index(log: DataFrame, n: int) -> DataFrame:
@@ -20,14 +24,13 @@ def at_index(log: DataFrame, n: int) -> DataFrame:
 def at_date(log: DataFrame, asked: DataFrame) -> DataFrame:
     """(ref, ts, oid) for each asked (ref, ts): the newest entry not after ts, else what the oldest entry replaced.
 
-    Probes and entries meet in one window ordered by time, so a ref's rows pass once
-    whatever the number of probes.
+    Probes and entries stand in one order by time, in range partitions, so a ref's rows
+    pass once whatever the number of probes, and a ref of many entries is no one task's.
     """
     entries = log.select("ref", "ts", F.lit(0).alias("kind"), "seq", F.struct("new_oid").alias("entry"))
     probes = asked.select("ref", "ts", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"))
-    w = Window.partitionBy("ref").orderBy("ts", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     oldest = log.groupBy("ref").agg(F.min_by("old_oid", "seq").alias("before"))
-    found = entries.unionByName(probes).withColumn("e", F.last("entry", ignorenulls=True).over(w)).where("kind = 1")
+    found = carried(entries.unionByName(probes), "entry", "ref", "ts", "kind", "seq", name="e").where("kind = 1")
     return found.join(oldest, "ref").select("ref", "ts", F.when(F.col("e").isNull(), F.col("before")).otherwise(F.col("e.new_oid")).alias("oid"))
 
 
@@ -40,10 +43,11 @@ def expired(log: DataFrame, reachable: DataFrame, cutoff: int, unreachable_cutof
 
 def without(log: DataFrame, n: int, rewrite: bool = True) -> DataFrame:
     """Each ref's log without ref@{n}; with rewrite the entry after it takes over the old id."""
-    w = Window.partitionBy("ref").orderBy("seq")
-    s = shown(log).withColumns({"_gone_before": F.lag("n").over(w) == n, "_old": F.lag("old_oid").over(w)})
-    old = F.when(F.lit(rewrite) & F.coalesce("_gone_before", F.lit(False)), F.col("_old")).otherwise(F.col("old_oid"))
-    return s.withColumn("old_oid", old).where(F.col("n") != n).select(*log.columns)
+    s = shown(log)
+    gone = s.where(F.col("n") == n).select(F.col("ref").alias("_ref"), F.col("old_oid").alias("_old"))  # one a ref
+    j = s.join(gone, F.col("ref") == F.col("_ref"), "left")
+    old = F.when(F.lit(rewrite) & (F.col("n") == n - 1) & F.col("_ref").isNotNull(), F.col("_old")).otherwise(F.col("old_oid"))
+    return j.withColumn("old_oid", old).where(F.col("n") != n).select(*log.columns)
 
 
 def deduplicated_refs(*layers: DataFrame) -> DataFrame:

@@ -37,3 +37,21 @@ def lagged(df: DataFrame, value: str, *keys: str, name: str = "previous") -> Dat
     last = r.groupBy("_range").agg(F.max(F.struct(*keys, F.col(value).alias("_v"))).alias("m"))
     carried = last.select("_range", F.lag(F.col("m._v")).over(Window.orderBy("_range")).alias("_carried"))  # one row a range
     return r.join(F.broadcast(carried), "_range").withColumn(name, F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(value).over(inside))).drop("_carried")
+
+
+def carried(df: DataFrame, value: str, group: str, *keys: str, name: str = "carried") -> DataFrame:
+    """df with the last value that isn't null at or before a row within its group, in the order of the keys.
+
+    A range begins with one group only, so what is carried into it is a single value:
+    the last one of that group in the ranges before. A group may thus fill many ranges.
+    """
+    r = ranged(df, group, *keys)
+    inside = Window.partitionBy("_range", group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(group, *keys)
+    ends = r.groupBy("_range").agg(F.min(group).alias("_first"), F.max(group).alias("_end"), F.max(F.when(F.col(value).isNotNull(), F.struct(place.alias("p"), F.col(value).alias("v")))).alias("_last"))
+    # a value of the range's last group goes on; of any other it can't
+    on = F.when(F.col(f"_last.p.{group}") == F.col("_end"), F.struct(F.col("_end").alias("g"), F.col("_last.v").alias("v")))
+    before = F.last(on, ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    into = ends.select("_range", F.col("_first"), before.alias("_on")).where(F.col("_on.g") == F.col("_first")).select("_range", F.col("_first").alias("_group"), F.col("_on.v").alias("_v"))
+    joined = r.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(F.broadcast(into), "_range", "left")
+    return joined.withColumn(name, F.coalesce("_own", F.when(F.col(group) == F.col("_group"), F.col("_v")))).drop("_range", "_own", "_group", "_v")

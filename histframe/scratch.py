@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _held: dict[str, list[str]] = {}
+#: A written table has at most so many files for each core: enough that tasks stay short, without thousands of small ones.
+WAVES = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, scope: str = "session") -> DataFrame:
     """df as a Parquet table in the shared folder, read again; it stays until ``release(scope)`` or the driver's end."""
     path = f"{shared_dir(df.sparkSession)}/histframe/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     _held.setdefault(scope, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

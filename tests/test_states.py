@@ -150,3 +150,24 @@ def test_streams_equal_batches(spark, small, tmp_path):
     best = wins.groupBy("start", "message").agg(F.max("n").alias("n"))
     want = batch.groupBy(F.window("ts", "1 hour"), "message").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "message", "n")
     assert rows(best, "start", "message", "n") == rows(want, "start", "message", "n")
+
+
+def test_values_are_carried_over_many_ranges(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for g, n in (("a", 3), ("hot", 400), ("none", 50), ("z", 5)):
+        rows += [(g, i, None if g == "none" or rng.random() < 0.97 else f"{g}{i}") for i in range(n)]
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "g string, k int, v string")
+    want, last = {}, {}
+    for g, k, v in sorted(rows):
+        last[g] = v or last.get(g)
+        want[g, k] = last[g]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        got = {(r.g, r.k): r.carried for r in ordered.carried(frame, "v", "g", "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
