@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histframe.functions.scalar import is_binary, split_lines
+from histframe.functions.scalar import is_binary
 from histframe.operators import content as C
 from histframe.scratch import written
 from histframe.sources import lenses as L

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histframe.operators import reading
-from histframe.sources import archive, packs, repository, store
+from histframe.sources import archive, packs, repository, store, writing
 from histframe.streaming import bus
 
 
@@ -226,3 +226,40 @@ def test_arrays_are_limited(spark):
         reading.to_array(df, 4)
     with pytest.raises(LookupError):
         reading.required(None, "nothing")
+
+
+def test_written_packs_are_read(spark, repo, tmp_path):
+    at, git = repo
+    r = repository.open_repository(spark, str(at))
+    objects = {(x.oid, x.type, bytes(x.content)) for x in r.objects.collect()}
+    made = writing.packs(r.objects.repartition(2), 500).collect()
+    assert len(made) > 2
+    back = set()
+    for m in made:
+        rows = list(store.pack_objects(bytes(m.pack)))
+        back |= {(o, k, c) for o, k, c in rows}
+        assert [o for o, _, _ in packs.pack_index(bytes(m.idx))] == sorted(o for o, _, _ in rows)
+        (tmp_path / f"{m.name}.pack").write_bytes(m.pack)
+        (tmp_path / f"{m.name}.idx").write_bytes(m.idx)
+        git("verify-pack", str(tmp_path / f"{m.name}.idx"))
+    assert back == objects
+    assert {(p, store.loose_object(bytes(raw))) for p, raw in writing.loose_files(r.objects).collect()} == {(f"{o[:2]}/{o[2:]}", (k, c)) for o, k, c in objects}
+    body, idx = writing.pack([("blob", b"x" * n) for n in (0, 1, 15, 16, 2047, 2048, 70_000)] * 2)
+    assert len(packs.pack_index(idx)) == 7 and {len(c) for _, _, c in store.pack_objects(body)} == {0, 1, 15, 16, 2047, 2048, 70_000}
+    whole, _ = writing.pack([(k, c) for _, k, c in sorted(objects)])
+    (tmp_path / "y.bundle").write_bytes(writing.bundle({"refs/heads/main": git("rev-parse", "main").strip()}, [], whole))
+    git("bundle", "verify", str(tmp_path / "y.bundle"))
+    assert writing.pack_index({"ab" * 20: (1, 5 << 31)}, b"\0" * 20)[-48:-40] == struct.pack(">Q", 5 << 31)
+
+
+def test_written_index_is_read(repo, tmp_path):
+    at, git = repo
+    raw = (at / ".git/index").read_bytes()
+    entries = store.index_entries(raw)
+    assert store.index_entries(writing.index_file(entries[::-1])) == entries
+    odd = [("a" * 5000, 2, "100755", "1" * 40, *range(9), True, True, False), ("b", 0, "120000", "2" * 40, *range(9), False, False, True)]
+    assert store.index_entries(writing.index_file(odd)) == odd
+    (tmp_path / "index").write_bytes(writing.index_file(entries))
+    env = {"GIT_INDEX_FILE": str(tmp_path / "index"), "PATH": "/usr/bin:/bin:/usr/local/bin"}
+    listed = subprocess.run(["git", "-C", str(at), "ls-files", "--stage"], check=True, capture_output=True, text=True, env=env).stdout
+    assert [tuple(x.split("\t")[0].split()) for x in listed.strip().split("\n")] == [(e[2], e[3], str(e[1])) for e in entries]
